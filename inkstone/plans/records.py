@@ -56,11 +56,11 @@ inner1 AS (SELECT tree_id, coalesce(j->'$.result', j) AS j FROM opened),
 tops AS (SELECT tree_id, coalesce(j->'$.structure', j) AS j FROM inner1),
 walk AS (
     SELECT tree_id, '' AS parent_path, (row_number() OVER (PARTITION BY tree_id ORDER BY pos) - 1)::VARCHAR AS node_path, v
-    FROM (SELECT tree_id, unnest(range(json_array_length(j))) AS pos, unnest(json_extract(j, '$[*]')) AS v FROM tops WHERE json_type(j) = 'ARRAY')
+    FROM (SELECT tree_id, unnest(range(json_array_length(j)::BIGINT)) AS pos, unnest(json_extract(j, '$[*]')) AS v FROM tops WHERE json_type(j) = 'ARRAY')
     WHERE json_type(v) = 'OBJECT'
     UNION ALL
     SELECT tree_id, parent_path, parent_path || '/' || (row_number() OVER (PARTITION BY tree_id, parent_path ORDER BY pos) - 1), v
-    FROM (SELECT tree_id, node_path AS parent_path, unnest(range(json_array_length(kids))) AS pos, unnest(json_extract(kids, '$[*]')) AS v
+    FROM (SELECT tree_id, node_path AS parent_path, unnest(range(json_array_length(kids)::BIGINT)) AS pos, unnest(json_extract(kids, '$[*]')) AS v
           FROM (SELECT tree_id, node_path, CASE json_type(k) WHEN 'ARRAY' THEN k WHEN 'OBJECT' THEN json_array(k) END AS kids
                 FROM (SELECT tree_id, node_path, coalesce(nullif(v->'$.nodes', 'null'), nullif(v->'$.Nodes', 'null'), nullif(v->'$.children', 'null')) AS k FROM walk)))
     WHERE json_type(v) = 'OBJECT')
