@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import bpe, mixing, splitting
+from inkstone.llm import bpe, mixing, neighbours, sentences, splitting
 from inkstone.session import read_table as table
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.neighbour_pairs(table(spark, sf, "vectors")).select("vec_a", "vec_b")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf, "documents")).select("doc_id", "end_pos")
+
+
+def p4_units(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf, "documents"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Oversized chunks: those that the splitter cuts, known by their second piece."""
     pieces = splitting.split_oversized(table(spark, sf, "chunks"), with_text=False)
@@ -33,7 +45,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_pieces, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p3_found, p4_found, p4_units, p5_found, p5_pieces, p7_ids, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
