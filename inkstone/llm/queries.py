@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkstone.llm import bpe, mixing, neighbours, sentences, splitting
+from inkstone.llm import bpe, mixing, neighbours, responses, sentences, splitting, subjects
 from inkstone.session import read_table as table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return responses.defective_pairs(table(spark, sf, "questions"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, sf, "vectors")).select("vec_a", "vec_b")
 
@@ -44,8 +49,18 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(p8_mix(spark, sf), table(spark, sf, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = subjects.subject_posteriors(table(spark, sf, "documents"), table(spark, sf, "subject_labels"), table(spark, sf, "subjects"))
+    return found.select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by subject."""
+    return p9_found(spark, sf).groupBy("subject").agg(F.count_distinct("doc_id").alias("documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_units, p5_found, p5_pieces, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_units, p5_found, p5_pieces, p7_ids, p8_mix, p8_shares, p9_found, p9_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
