@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import bpe, mixing, neighbours, responses, sentences, splitting, subjects
+from inkstone.llm import bpe, mixing, neighbours, responses, scans, sentences, splitting, subjects
 from inkstone.session import read_table as table
 
 
@@ -37,6 +37,14 @@ def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf, "chunks"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.page_noise(table(spark, sf, "pages"), table(spark, sf, "corpus"), table(spark, sf, "lexicon"))
+
+
+def p6_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.paragraphs(table(spark, sf, "pages"), table(spark, sf, "corpus"), table(spark, sf, "lexicon"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf, "documents"))
 
@@ -60,7 +68,7 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_units, p5_found, p5_pieces, p7_ids, p8_mix, p8_shares, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_units, p5_found, p5_pieces, p6_found, p6_paragraphs, p7_ids, p8_mix, p8_shares, p9_found, p9_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
