@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstone.functions.order import row_numbers
+
 
 def section_id(doc: Column, ids: Column, depth: Column) -> Column:
     """The document and the first ``depth`` ids of a path: unique where titles repeat."""
@@ -77,10 +79,10 @@ def duplicate_keys(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def contents(sections: DataFrame) -> DataFrame:
-    """Sections of the top two levels in reading order: ``doc, line_no, title, depth, start_page``."""
-    w = Window.partitionBy("doc").orderBy("start_page", "depth", "id")
-    return sections.where("depth <= 2").select("doc", F.row_number().over(w).alias("line_no"), "title", "depth", "start_page")
+def contents(sections: DataFrame, bucket: int = 512) -> DataFrame:
+    """Sections of the top two levels in reading order: ``doc, line_no, title, depth, start_page`` (null pages count as 0)."""
+    top = sections.where("depth <= 2").select("doc", "title", "depth", F.coalesce("start_page", F.lit(0)).alias("start_page"), "id")
+    return row_numbers(top, ["doc"], F.floor(F.col("start_page") / bucket), ["start_page", "depth", "id"], "line_no").select("doc", "line_no", "title", "depth", "start_page")
 
 
 def breadcrumbs(chunks: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ def unique(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     kept = df
     for k in keys:
         kept = kept.where(F.col(k).isNotNull())
+    if not columns:
+        return kept.select(*keys).distinct()
     return kept.groupBy(*keys).agg(*[F.first(c).alias(c) for c in columns])
 
 
