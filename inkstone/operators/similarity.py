@@ -20,10 +20,12 @@ from inkstone.session import cut
 TOP_K, PERCENTILE = 10, 90.0
 #: Vectors of a block, and bins of the histogram over -1..1.
 BLOCK, BINS = 2048, 1 << 16
+#: Values of one bin that are sorted on the driver; above this the bin is counted again in finer ones.
+FEW_VALUES = 100_000
 
 
-def _bin(s: np.ndarray) -> np.ndarray:
-    return np.clip(((s + 1) * (BINS / 2)).astype(np.int64), 0, BINS - 1)
+def _bin(s: np.ndarray, low: float = -1.0, high: float = 1.0) -> np.ndarray:
+    return np.clip(((s - low) * (BINS / (high - low))).astype(np.int64), 0, BINS - 1)
 
 
 def _block_pairs(vectors: DataFrame) -> DataFrame:
@@ -87,43 +89,54 @@ def top_partners(vectors: DataFrame, k: int = TOP_K) -> DataFrame:
 def cross_statistics(vectors: DataFrame, percentile: float = PERCENTILE) -> DataFrame:
     """One row ``pairs, threshold, min_score, max_score`` over all pairs of vectors of different documents; exact."""
 
-    def histogram(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        s, _, _ = _scores(key, left, right)
-        v = s[~np.isnan(s)]
-        if not len(v):
-            return pa.table({"bin": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "lo": pa.array([], pa.float64()), "hi": pa.array([], pa.float64())})
-        bins, counts = np.unique(_bin(v), return_counts=True)
-        return pa.table({"bin": bins, "n": counts, "lo": np.full(len(bins), v.min()), "hi": np.full(len(bins), v.max())})
+    def counted(low: float, high: float):
+        def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            s, _, _ = _scores(key, left, right)
+            v = s[~np.isnan(s)]
+            v = v[(v >= low) & (v <= high)]
+            if not len(v):
+                return pa.table({"bin": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "lo": pa.array([], pa.float64()), "hi": pa.array([], pa.float64())})
+            bins, place, counts = np.unique(_bin(v, low, high), return_inverse=True, return_counts=True)
+            lo, hi = np.full(len(bins), np.inf), np.full(len(bins), -np.inf)
+            np.minimum.at(lo, place, v)
+            np.maximum.at(hi, place, v)
+            return pa.table({"bin": bins, "n": counts, "lo": lo, "hi": hi})
+
+        parts = _block_pairs(vectors).applyInArrow(run, "bin bigint, n bigint, lo double, hi double")
+        return parts.groupBy("bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("bin").collect()  # at most BINS rows
 
-    counted = _block_pairs(vectors).applyInArrow(histogram, "bin bigint, n bigint, lo double, hi double")
-    rows = counted.groupBy("bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("bin").collect()  # at most BINS rows
     spark = vectors.sparkSession
     schema = "pairs bigint, threshold double, min_score double, max_score double"
+    rows = counted(-1.01, 1.01)  # rounding may leave -1..1 by a little
     if not rows:
         return spark.createDataFrame([(0, None, None, None)], schema)
-    total = sum(r["n"] for r in rows)
+    total, least, most = sum(r["n"] for r in rows), min(r["lo"] for r in rows), max(r["hi"] for r in rows)
     place = (total - 1) * percentile / 100
-    low, high = math.floor(place), math.ceil(place)
-    wanted, before, first = [], 0, None
-    for r in rows:
-        if before + r["n"] > low and before <= high:
-            first = before if first is None else first
-            wanted.append(r["bin"])
-        before += r["n"]
-    lo_bin, hi_bin = min(wanted), max(wanted)
-
-    def values(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        s, _, _ = _scores(key, left, right)
-        v = s[~np.isnan(s)]
-        b = _bin(v)
-        return pa.table({"v": v[(b >= lo_bin) & (b <= hi_bin)]})
-
-    inside = _block_pairs(vectors).applyInArrow(values, "v double")
-    # the two order statistics by rank among the few values of their bins
-    ranked = inside.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("up", F.sum("n").over(Window.orderBy("v")) + F.lit(first))
-    at = lambda r: F.min(F.when(F.col("up") > r, F.col("v")))
-    picked = ranked.agg(at(low).alias("a"), at(high).alias("b")).select((F.col("a") + (F.col("b") - F.col("a")) * (place - low)).alias("threshold"))
-    return picked.select(F.lit(total).cast("bigint").alias("pairs"), "threshold", F.lit(min(r["lo"] for r in rows)).alias("min_score"), F.lit(max(r["hi"] for r in rows)).alias("max_score"))
+    bounds = []
+    for rank in sorted({math.floor(place), math.ceil(place)}):
+        # narrow the range that holds the rank until it holds one value, or few
+        here, before = rows, 0
+        while True:
+            for r in here:
+                if before + r["n"] > rank:
+                    break
+                before += r["n"]
+            if r["lo"] == r["hi"]:
+                bounds.append(r["lo"])
+                break
+            if r["n"] <= FEW_VALUES:
+                low, high = r["lo"], r["hi"]
+
+                def values(key, left: pa.Table, right: pa.Table, low=low, high=high) -> pa.Table:
+                    s, _, _ = _scores(key, left, right)
+                    return pa.table({"v": s[(s >= low) & (s <= high)]})
+
+                found = np.sort(_block_pairs(vectors).applyInArrow(lambda key, left, right: values(key, left, right), "v double").toArrow().column("v").to_numpy())
+                bounds.append(float(found[rank - before]))
+                break
+            here = counted(r["lo"], r["hi"])
+    value = bounds[0] + (bounds[-1] - bounds[0]) * (place - math.floor(place))
+    return spark.createDataFrame([(total, float(value), float(least), float(most))], schema)
 
 
 def cross_histogram(vectors: DataFrame, bins: int = 60) -> DataFrame:

@@ -103,13 +103,10 @@ def find_titles(spark: SparkSession, sf: str) -> DataFrame:
     nodes = cut(nested.section_columns(nested.flatten_tree(first, "doc", "raw")))
     p = pages(spark, sf, "text")
     starts = cut(page_offsets(p))
-    end_page = F.coalesce("end_index", "start_index") + 1
-    asked = nodes.select("doc", F.coalesce("start_index", F.lit(1)).alias("page")).unionByName(nodes.select("doc", end_page.alias("page"))).where("page IS NOT NULL").distinct()
-    at = cut(page_to_offset(asked, starts))
-    n = nodes.select("doc", "node_path", "title", T.sort_key(F.col("node_path")).alias("ord"), F.coalesce("start_index", F.lit(1)).alias("s"), end_page.alias("e"))
-    n = n.join(at.select("doc", F.col("page").alias("s"), F.col("off").alias("lo")), ["doc", "s"], "left").join(at.select("doc", F.col("page").alias("e"), F.col("off").alias("hi")), ["doc", "e"], "left")
-    text = p.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("text"))
-    return C.section_spans(n, text)
+    n = nodes.select("doc", "node_path", "title", T.sort_key(F.col("node_path")).alias("ord"), F.coalesce("start_index", F.lit(1)).alias("first_page"), F.coalesce("end_index", "start_index", F.lit(1)).alias("last_page"))
+    at = page_to_offset(n.select("doc", F.col("first_page").alias("page")).distinct(), starts)
+    n = n.join(at.select("doc", F.col("page").alias("first_page"), F.col("off").alias("lo")), ["doc", "first_page"], "left")
+    return C.section_spans(n, p.join(starts.select("doc", "page", "start_off"), ["doc", "page"]))
 
 
 SECTION_COLUMNS = ("doc", "author", "path", "path_ids", "start_page", "end_page", "section_summary")
