@@ -142,7 +142,7 @@ def bare(token: str) -> str:
 
 def written_small(text: str) -> bool:
     """Whether the sentences of the text begin with small letters."""
-    after = re.findall(r"[.!?][”\"»)]*\s+[\"“„«(]*([^\W\d_])", text)
+    after = re.findall(r"(?:[^\W\d_]{4}\.|[!?])[”\"»)]*\s+[\"“„«(]*([^\W\d_])", text)
     small = sum(c != c.upper() for c in after)
     return small > 0.6 * len(after) if len(after) > 1 else not any(c.isupper() for c in text)
 
