@@ -84,7 +84,7 @@ def test_summaries(spark):
         ("Please provide the text of the section so that I can summarise it.", None),
         ("x" * 39, None),
         ('```json\n{"summary": "A summary that is long enough to be kept here."}\n```', "A summary that is long enough to be kept here."),
-        ('{"summary": "A summary that is long enough to be kept here.", ', "A summary that is long enough to be kept here."),
+        ('{"summary": "A summary that is long enough to be kept here." ', "A summary that is long enough to be kept here."),
         ('{"summary": "A summary that is cut in the middle of a sen', "A summary that is cut in the middle of a sen"),
         ('{"note": "A stretch in quotes that is long enough, twice over.", "x": ', "A stretch in quotes that is long enough, twice over."),
         ('["one point of some length", "two points of some length."]', "one point of some length. two points of some length."),
