@@ -59,7 +59,7 @@ PIECE = re.compile(r"(?<=[^\W\d_]{3}[.!?])[\"'“”’»)\]]*\s+(?![a-z\d])|(?<
 #: Two things named side by side, which a short answer may consist of.
 BESIDE = re.compile(r"\s+(?:and|und|et)\s+|[和与，]")
 LIST_LINE = re.compile(r"^\s*(?:[-–—•*·]|\(?\d{1,2}[.)]|\(?[a-z]\))\s+(?=\S)")
-TERMINAL = re.compile(r"[.!?。！？।॥|…][\"'“”’»」』)\]）]*$")
+TERMINAL = re.compile(r"[.!?。！？।॥|…](?:\s?[\"'“”’»」』)\]）])*$")
 NUMBER_WORDS = {w: n for n, names in enumerate(("", "one ein eine un une 一", "two zwei deux 两 二", "three drei trois 三", "four vier quatre 四", "five fünf cinq 五", "six sechs 六", "seven sieben sept 七")) for w in names.split()}
 ANNOUNCED = re.compile(r"\b(" + "|".join(w for w in NUMBER_WORDS if w.isascii() or w == "fünf") + r")\b[^.!?:\n]{0,40}[:：]\s*$|([一二两三四五六七])[^。！？：\n]{0,12}[：:]\s*$", re.I)
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
@@ -148,15 +148,9 @@ def refuses(sentence: str) -> bool:
 
 
 def is_refusal(question: str | None, answer: str) -> bool:
-    """Declines at its beginning, apart from a repeated question; what others decline does not count."""
+    """Has a whole sentence that declines, apart from a repeated question; what others decline does not count."""
     text, _ = without_question(question or "", body(answer))
-    parts = pieces(text)
-    for part in parts[:2]:
-        if refuses(part):
-            return True
-        if not re.match(r"(?:(?:I'm|I am|I’m)\s+)?(?:sorry|unfortunately|i apologi[sz]e|leider|es tut mir leid|désolée?|je suis désolée?|malheureusement|抱歉|很遗憾|对不起)\b", part, re.I):
-            return False
-    return False
+    return any(TERMINAL.search(part) and refuses(part) for part in pieces(text))
 
 
 def votes(text: str) -> Counter:
@@ -208,7 +202,7 @@ def unclosed(text: str) -> bool:
 
 
 # fixed values: words and marks that cannot end an answer
-DANGLING = re.compile(r"(?:[,;:，；：、–—(\[“„«「-]|\b(?:and|or|but|because|which|that|the|a|an|of|to|for|with|as|if|than|by|from|in|on|is|are|was|not|und|oder|aber|weil|dass|der|die|das|den|dem|ein|eine|von|zu|mit|als|wenn|et|ou|mais|parce|que|qui|le|la|les|un|une|des|du|de|dont|si)|\b(?:e\.g|i\.e|cf|viz|vol|vs|pp?|Mr|Mrs|Dr|St|No|Fig|ch|approx|ca|vgl|Bd|d\. h|z\. B|p\. ex|c\.-à-d|M)\.|而|因为|和|与|的|但)$", re.I)
+DANGLING = re.compile(r"(?:[,;:，；：、–—(\[„«「-]|\b(?:and|or|but|because|which|that|the|a|an|of|to|for|with|as|if|than|by|from|in|on|is|are|was|not|und|oder|aber|weil|dass|der|die|das|den|dem|ein|eine|von|zu|mit|als|wenn|et|ou|mais|parce|que|qui|le|la|les|un|une|des|du|de|dont|si)|\b(?:e\.g|i\.e|cf|viz|vol|vs|pp?|Mr|Mrs|Dr|St|No|Fig|ch|approx|ca|vgl|Bd|d\. h|z\. B|p\. ex|c\.-à-d|M)\.|而|因为|和|与|的|但)$", re.I)
 
 
 def ending(question: str | None, answer: str) -> Ending:

@@ -29,11 +29,11 @@ LEAST_SHARE = 1e-6
 #: Distinct counts a worker holds before it hands them on; a bound on memory, sums do not change.
 FLUSH = 200_000
 
-# fixed values: frequent function words that tell the languages of the Latin script apart
+# fixed values: frequent function words that tell the languages of the Latin script apart (none is a word of two of them)
 FUNCTION_WORDS = {
-    "en": "the of and to is that in it a not with for was are by this be from which or has have on as at".split(),
-    "de": "der die das und ist nicht ein eine den dem von zu wie sich auf mit als wenn wo hier was des im".split(),
-    "fr": "le la les des est que qui et dans une un du pas pour ce ne plus sur ou au se par il".split(),
+    "en": "the of and to is that it a not with for are by this be from which or has have as at before".split(),
+    "de": "der die das und ist nicht ein eine den dem von zu wie sich auf mit als wenn wo hier dass im ohne bei".split(),
+    "fr": "le la les est que qui et dans une un du pas pour ce ne plus sur ou au se par il".split(),
 }
 WORD_LANGUAGE: dict[str, str] = {}
 for _language, _words in FUNCTION_WORDS.items():
@@ -53,6 +53,7 @@ END = re.compile(rf"(?:[.!?。！？｡．؟।॥|]|…|\.\.\.)+(?:{NOTE}|[{CLO
 TOKEN = re.compile(r"[^\s]+")
 LETTERS = re.compile(r"[^\W_]")
 #: Longest line of a wrapped text, and the parts of it from which a line counts as full, alone or with the next word.
+ENDLESS = re.compile(r"[!-~]{40}")
 MOST_WRAPPED, FULL_LINE, FILLED_LINE = 120, 0.7, 0.82
 OPEN, CLOSE = "(（[“„«‹「『【《", ")）]”»›」』】》"
 PAIR = {")": "(", "）": "（", "]": "[", "”": "“„", "“": "„", "»": "«", "›": "‹", "」": "「", "』": "『", "】": "【", "》": "《"}
@@ -96,7 +97,8 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
         while b > a and text[b - 1] in STRIP:
             b -= 1
         spans.append((a, b))
-    width = max((b - a for a, b in spans), default=0)
+    # a line with an endless token says nothing about where lines are broken
+    width = max((b - a for a, b in spans if b - a <= MOST_WRAPPED or not ENDLESS.search(text, a, b)), default=0)
     wrapped = width <= MOST_WRAPPED and any(wraps(text, spans[k], spans[k + 1]) for k in range(len(spans) - 1))
     start = None
     for k, (a, b) in enumerate(spans):
@@ -243,7 +245,7 @@ def learn(documents: DataFrame, text: str = "text") -> dict[str, Model]:
         lang, kind = r["lang"], r["type"]
         periods, tokens, starts = totals[lang]
         seen[lang][kind] = (r["with"], r["with"] + r["without"])
-        if r["with"] and len(kind.replace(".", "")) <= 8 and "#" not in kind and abbreviation_score(kind, r["with"], r["without"], periods, tokens) >= ABBREVIATION_SCORE:
+        if r["with"] and (len(kind) > 1 or kind.isascii()) and len(kind.replace(".", "")) <= 8 and "#" not in kind and abbreviation_score(kind, r["with"], r["without"], periods, tokens) >= ABBREVIATION_SCORE:
             models[lang].abbreviations[kind] = 0.0
         if r["start"] and starts:
             every = r["with"] + r["without"]
@@ -416,10 +418,13 @@ def ends_here(text: str, m: re.Match, start: int, end: int, lang: str, model: Mo
         if lang == "de":
             return following in model.starters and following in model.common
         return not small or lower and following in model.starters
-    single = len(kind) == 1
+    single = len(kind) == 1 and kind.isascii()
     if single or kind in model.abbreviations or "." in kind:
         if not lower and small or after.isdigit():
             return False
+        if single and (text[m.start() - 1].isupper() or lower):
+            # an initial; in small letters it cannot be told from an abbreviation, so only a common word begins anew
+            return lower and following in model.starters and following in model.common
         names = model.abbreviations.get(kind, 1.0 if single else 0.0)
         if names >= 0.5:
             return False
