@@ -57,8 +57,10 @@ ENDLESS = re.compile(r"[!-~]{40}")
 MOST_WRAPPED, FULL_LINE, FILLED_LINE = 120, 0.7, 0.82
 OPEN, CLOSE = "(（[“„«‹「『【《", ")）]”»›」』】》"
 PAIR = {")": "(", "）": "（", "]": "[", "”": "“„", "“": "„", "»": "«", "›": "‹", "」": "「", "』": "『", "】": "【", "》": "《"}
+MARK = re.compile(f"[{re.escape(OPEN + CLOSE)}\"]")
 THAI, DEVANAGARI, KANA, HAN = "฀-๿", "ऀ-ॿ", "぀-ヿ", "一-鿿㐀-䶿"
 SCRIPTS = [("th", re.compile(f"[{THAI}]")), ("hi", re.compile(f"[{DEVANAGARI}]")), ("ja", re.compile(f"[{KANA}]")), ("zh", re.compile(f"[{HAN}]"))]
+ANY_SCRIPT = re.compile(f"[{THAI}{DEVANAGARI}{KANA}{HAN}]")
 LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 #: Speech that goes on after a quoted question or exclamation in Chinese, Japanese and Thai.
 CJK_SPEECH = re.compile(r"\s*(?:と|[A-Za-z]{2,20}\s*(?:问|問|说|說|道|答|喊|ถาม|กล่าว|ने))")
@@ -66,17 +68,23 @@ CJK_SPEECH = re.compile(r"\s*(?:と|[A-Za-z]{2,20}\s*(?:问|問|说|說|道|答|
 
 def language(text: str) -> str:
     """The language by script and, for the Latin script, by function words; 'xx' when nothing tells."""
-    best, most = "xx", len(LATIN.findall(text)) / 3
-    counts = {name: len(p.findall(text)) for name, p in SCRIPTS}
-    if counts["ja"] > 0.1 * counts["zh"]:
-        counts["ja"] += counts["zh"]
-    for name, n in counts.items():
-        if n > most:
-            best, most = name, n
+    best = "xx"
+    if not text.isascii() and ANY_SCRIPT.search(text):
+        most = len(LATIN.findall(text)) / 3
+        counts = {name: len(p.findall(text)) for name, p in SCRIPTS}
+        if counts["ja"] > 0.1 * counts["zh"]:
+            counts["ja"] += counts["zh"]
+        for name, n in counts.items():
+            if n > most:
+                best, most = name, n
     if best != "xx":
         return best
-    votes = Counter(WORD_LANGUAGE[w] for w in re.findall(r"[^\W\d_]+", text.lower()) if w in WORD_LANGUAGE)
-    return max(sorted(votes), key=votes.__getitem__) if votes else "xx"
+    found: dict[str, int] = {}
+    for w in text.lower().split():
+        lang = WORD_LANGUAGE.get(w)
+        if lang:
+            found[lang] = found.get(lang, 0) + 1
+    return max(sorted(found), key=found.__getitem__) if found else "xx"
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
@@ -149,35 +157,59 @@ def written_small(text: str) -> bool:
     return small > 0.6 * len(after) if len(after) > 1 else not any(c.isupper() for c in text)
 
 
+#: Distinct tokens whose analysis a worker remembers.
+MEMO = 200_000
+_ANALYSED: dict[str, tuple] = {}
+
+
+def analyse(token: str) -> tuple:
+    """``(type, has a period, small or capital, type without period, next is sure, next is a start)`` of a token, remembered."""
+    known = _ANALYSED.get(token)
+    if known is None:
+        if len(_ANALYSED) > MEMO:
+            _ANALYSED.clear()
+        closed = token.rstrip("\"'”’»)]")
+        word = bare(token)
+        stop = closed.endswith(".") and not closed.endswith("..")
+        kind = word.rstrip(".")
+        first = LETTERS.search(token)
+        letter = "" if not first else "small" if first.group(0) == first.group(0).lower() else "capital"
+        if not LETTERS.search(kind):
+            kind = ""
+        sure = not stop and token[-1:] not in ":“„«(\"”"
+        fresh = closed[-1:] in ("!", "?", "।", "|") or stop and len(kind) > 5 and "." not in kind
+        known = _ANALYSED[token] = (kind, stop, letter, bare(token).rstrip("."), sure, fresh)
+    return known
+
+
 def count_text(text: str, counts: Counter) -> None:
     """Adds what one text tells to ``counts``, keyed ``(kind, language, type, next type)``."""
     lang = language(text)
     lower = written_small(text)
+    spaceless = lang in ("zh", "ja", "th")
     for start, end, listed in blocks(text):
         body = LIST_MARK.sub("", text[start:end], count=1) if listed else text[start:end]
         tokens = body.split()
+        if spaceless:
+            # runs of a script without spaces are no words; only what stands among them counts
+            tokens = [t for t in tokens if t.isascii()]
         fresh, sure = not listed, True
+        last = len(tokens) - 1
         for k, token in enumerate(tokens):
-            closed = token.rstrip("\"'”’»)]")
-            word = bare(token)
-            stop = closed.endswith(".") and not closed.endswith("..")
-            kind = word.rstrip(".")
-            if kind and LETTERS.search(kind):
+            kind, stop, letter, _, next_sure, next_fresh = analyse(token)
+            if kind:
                 counts["with" if stop else "without", lang, kind, ""] += 1
                 if fresh:
                     counts["start", lang, kind, ""] += 1
-                elif sure and not lower and LETTERS.search(token):
-                    first = LETTERS.search(token).group(0)
-                    counts["small" if first == first.lower() else "capital", lang, kind, ""] += 1
-                if stop and k + 1 < len(tokens) and len(kind) <= 8:
-                    after = bare(tokens[k + 1]).rstrip(".")
-                    if after:
-                        counts["pair", lang, kind, after] += 1
-                        opening = LETTERS.search(tokens[k + 1])
-                        if opening and not lower:
-                            counts["follow" if opening.group(0) == opening.group(0).lower() else "Follow", lang, kind, after] += 1
-            sure = not stop and token[-1:] not in ":“„«(\"”"
-            fresh = closed[-1:] in ("!", "?", "।", "|") or stop and len(kind) > 5 and "." not in kind
+                elif sure and not lower and letter:
+                    counts[letter, lang, kind, ""] += 1
+                if stop and k < last and len(kind) <= 8:
+                    after = analyse(tokens[k + 1])
+                    if after[3]:
+                        counts["pair", lang, kind, after[3]] += 1
+                        if after[2] and not lower:
+                            counts["follow" if after[2] == "small" else "Follow", lang, kind, after[3]] += 1
+            sure, fresh = next_sure, next_fresh
 
 
 def log_likelihood(count_a: float, count_b: float, count_ab: float, n: float) -> float:
@@ -318,9 +350,9 @@ def inner_ends(text: str, start: int, end: int, lang: str, model: Model, lower:
         gaps = [m for m in re.finditer(rf"[{BLANK}]*[ 　 ][{BLANK}]*", text[start:end])]
         cuts += [start + m.start() for m in gaps if blank_ends(text, start, start + m.start(), start + m.end(), end, lang)]
     for m in places:
-        for k in range(at, m.end()):
-            c = text[k]
-            if c in "“" and opened and opened[-1] == "„":
+        for mark in MARK.finditer(text, at, m.end()):
+            c = mark.group(0)
+            if c == "“" and opened and opened[-1] == "„":
                 opened.pop()
             elif c in OPEN:
                 opened.append(c)
