@@ -159,7 +159,8 @@ def cross_links(vectors: DataFrame, k: int = TOP_K, percentile: float = PERCENTI
     stats = cross_statistics(vectors, percentile)
     near = top_partners(vectors, k)
     pairs = near.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max("score").alias("score"))
-    return pairs.join(F.broadcast(stats.select("threshold"))).where(F.col("score") >= F.col("threshold")).select("a", "b", "score")  # one row
+    limit = stats.first()["threshold"]
+    return pairs.where(F.col("score") >= F.lit(limit)).select("a", "b", "score")
 
 
 def with_authors(links: DataFrame, authors: DataFrame) -> DataFrame:

@@ -73,7 +73,8 @@ def _sentence_distances(spark: SparkSession, sf: str) -> DataFrame:
 
 def semantic_cut(spark: SparkSession, sf: str) -> DataFrame:
     s = cut(_sentence_distances(spark, sf))
-    return C.semantic_chunks(s, C.threshold(s), ["chunk_id"])
+    limit = C.threshold(s).first()["threshold"]
+    return C.semantic_chunks(s, float("inf") if limit is None else limit, ["chunk_id"])
 
 
 def glue_small(spark: SparkSession, sf: str) -> DataFrame:
