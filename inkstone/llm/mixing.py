@@ -97,8 +97,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total_
 def mix_report(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """Shares reached: one row per wanted source, also for those that contribute nothing."""
     used = mix.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("records"), (F.max("round") + 1).alias("repeats"))
-    total = used.agg(F.sum("tokens").alias("total"))
+    total = used.agg(F.sum("tokens").alias("total")).first()["total"]
     wanted = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats")
-    out = wanted.join(used, "source", "left").crossJoin(F.broadcast(total))  # one row
+    out = wanted.join(used, "source", "left").withColumn("total", F.lit(total).cast("bigint"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select("source", "target_share", "max_repeats", zero("records").alias("records"), zero("repeats").alias("repeats"), zero("tokens").alias("tokens"), F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("share"))
