@@ -98,22 +98,33 @@ def estimate(turned: np.ndarray, own: np.ndarray, codes: np.ndarray, scalars: np
     power of two, so that inner products are sums of popcounts.
     """
     width = turned.shape[1]
+    turned = turned.astype(np.float32)
     low, high = turned.min(axis=1), turned.max(axis=1)
-    step = np.maximum((high - low) / 15, 1e-12)
+    step = np.maximum((high - low) / np.float32(15), np.float32(1e-12))
     cut4 = np.clip(np.rint((turned - low[:, None]) / step[:, None]), 0, 15).astype(np.uint8)
-    total = np.zeros((len(turned), len(codes)), dtype=np.int32)
+    total = np.zeros((len(turned), len(codes)), dtype=np.uint16 if width < 4096 else np.uint32)
     for power in range(4):
         plane = words(np.packbits((cut4 >> power) & 1, axis=1, bitorder="little"))
-        for w in range(codes.shape[1]):
-            total += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.int32) << power
-    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int32)
-    inner = 2 * (low[:, None] * ones[None, :] + step[:, None] * total) - (low * width + step * cut4.sum(axis=1))[:, None]
+        ones = np.bitwise_count(plane[:, 0, None] & codes[None, :, 0]).astype(total.dtype)
+        for w in range(1, codes.shape[1]):
+            ones += np.bitwise_count(plane[:, w, None] & codes[None, :, w])
+        ones <<= power
+        total += ones
+    held = np.bitwise_count(codes).sum(axis=1, dtype=np.int32).astype(np.float32)
     norm, aligned, against = scalars[:, 0], scalars[:, 1], scalars[:, 2]
-    cosine = own[:, None] + against[None, :] + inner / np.sqrt(width) * (norm / aligned)[None, :]
-    spread = norm * np.sqrt(np.maximum(1 - aligned**2, 0)) / aligned * (epsilon / np.sqrt(width - 1))
+    stretch = (norm / aligned).astype(np.float32)
+    cosine = total.astype(np.float32)
+    cosine *= 2 * step[:, None]
+    cosine += 2 * low[:, None] * held[None, :]
+    cosine -= (low * width + step * cut4.sum(axis=1, dtype=np.float32))[:, None]
+    cosine *= (stretch / np.float32(np.sqrt(width)))[None, :]
+    cosine += own.astype(np.float32)[:, None] + against[None, :]
+    spread = (stretch * np.sqrt(np.maximum(1 - aligned**2, 0)) * np.float32(epsilon / np.sqrt(width - 1))).astype(np.float32)
     # the cut to four bits moves the inner product by at most about this much (one standard deviation, times epsilon)
-    coarse = epsilon * step[:, None] / np.sqrt(12) * (norm / aligned)[None, :]
-    return cosine, np.linalg.norm(turned, axis=1)[:, None] * spread[None, :] + coarse + 0.01
+    bound = np.linalg.norm(turned, axis=1)[:, None] * spread[None, :]
+    bound += (np.float32(epsilon / np.sqrt(12)) * step)[:, None] * stretch[None, :]
+    bound += np.float32(0.01)
+    return cosine, bound
 
 
 def candidates(query_ids, turned, own, member_ids, codes, scalars, k: int, min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -121,17 +132,18 @@ def candidates(query_ids, turned, own, member_ids, codes, scalars, k: int, min_c
     first, second = [], []
     for a in range(0, len(query_ids), 256):
         cosine, bound = estimate(turned[a : a + 256], own[a : a + 256], codes, scalars)
-        upper, lower = cosine + bound, cosine - bound
-        same = query_ids[a : a + 256, None] == member_ids[None, :]
-        upper[same], lower[same] = -9, -9
-        keep = upper >= min_cosine
-        many = np.flatnonzero(keep.sum(axis=1) > k)
+        keep = cosine + bound >= min_cosine
+        many = np.flatnonzero(keep.sum(axis=1) > k + 1)
         if len(many):
-            best = np.partition(lower[many], -k, axis=1)[:, -k]
-            keep[many] &= upper[many] >= best[:, None]
+            # the query itself may stand in its own block, so one more than k is looked at
+            lower = cosine[many] - bound[many]
+            best = np.partition(lower, -(k + 1), axis=1)[:, -(k + 1)]
+            keep[many] &= cosine[many] + bound[many] >= best[:, None]
         q, m = np.nonzero(keep)
-        first.append(query_ids[a : a + 256][q])
-        second.append(member_ids[m])
+        own_ids, other_ids = query_ids[a : a + 256][q], member_ids[m]
+        different = own_ids != other_ids
+        first.append(own_ids[different])
+        second.append(other_ids[different])
     return np.concatenate(first), np.concatenate(second)
 
 
