@@ -73,6 +73,13 @@ def matrix(column: pa.Array, width: int, dtype=np.float64) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(-1, width)
 
 
+def normal(column: pa.Array) -> np.ndarray:
+    """Vectors at length 1, in double."""
+    raw = matrix(column, DIMENSIONS)
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+
+
 def encode(unit: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed sign bits of the rotated residuals and their scalars ``(norm, alignment, <residual, centre>)``."""
     residual = unit - centre
@@ -154,9 +161,9 @@ def _index(distinct: DataFrame, models: list, sizes: dict, seed: int) -> dict:
     for m in models:
         share = F.when(F.col("model").eqNullSafe(F.lit(m)), F.lit(min(1.0, 1.1 * SAMPLE_PER_CENTROID * wanted[m] / sizes[m] + 50 / sizes[m]))).otherwise(share)
     part = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    rows = distinct.where(part < share).select("model", "vec_id", "unit").toArrow()
+    rows = distinct.where(part < share).select("model", "vec_id", "embedding").toArrow()
     names = rows.column("model").to_pylist()
-    units = matrix(rows.column("unit").combine_chunks(), DIMENSIONS, np.float32) if rows.num_rows else np.zeros((0, DIMENSIONS), np.float32)
+    units = normal(rows.column("embedding").combine_chunks()).astype(np.float32) if rows.num_rows else np.zeros((0, DIMENSIONS), np.float32)
     order = np.argsort(np.array(rows.column("vec_id").to_pylist(), dtype=np.int64), kind="stable")
     index = {}
     for m in models:
@@ -175,17 +182,9 @@ def similar_pairs(df: DataFrame, k: int = K, min_cosine: float = 0.8, probes: in
     members = cut(clean.select("vec_id", *group).distinct())
     distinct = clean.groupBy(*group).agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("v"), F.count(F.lit(1)).alias("n"))
 
-    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = matrix(batch.column("embedding"), DIMENSIONS)
-            raw /= np.abs(raw).max(axis=1, keepdims=True)
-            unit = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).ravel()
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * DIMENSIONS)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*group, "vec_id", "n")], pa.ListArray.from_arrays(offsets, pa.array(unit))], names=[*group, "vec_id", "n", "unit"])
-
     kinds = dict(clean.dtypes)
-    schema = f"model {kinds['model']}, h1 bigint, h2 bigint, vec_id {kinds['vec_id']}, n bigint, unit array<double>"
-    distinct = cut(distinct.select(*group, "v.vec_id", "v.embedding", "n").mapInArrow(normal, schema))
+    # vectors travel as they came, in single floats; they are brought to length 1 where they are used
+    distinct = cut(distinct.select(*group, "v.vec_id", "v.embedding", "n"))
     sizes = {r["model"]: r["n"] for r in distinct.groupBy("model").agg(F.count(F.lit(1)).alias("n")).limit(1001).collect()}
     if len(sizes) > 1000:
         raise ValueError("more than 1000 models")
@@ -199,7 +198,7 @@ def similar_pairs(df: DataFrame, k: int = K, min_cosine: float = 0.8, probes: in
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = matrix(batch.column("unit"), DIMENSIONS, np.float32)
+            unit = normal(batch.column("embedding")).astype(np.float32)
             which = np.array([number[m] for m in batch.column("model").to_pylist()])
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
             for i in np.unique(which):
@@ -218,7 +217,7 @@ def similar_pairs(df: DataFrame, k: int = K, min_cosine: float = 0.8, probes: in
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * count), pa.array(visit.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int32)), pa.array(ids[which == i]), pa.array(home), binary(stored), binary(flat), lists], names=["m", "vec_id", "home", "code", "query", "visit"])
 
-    coded = cut(distinct.mapInArrow(code, f"m int, vec_id {kinds['vec_id']}, home int, code binary, query binary, visit array<int>"))
+    coded = cut(distinct.select("model", "vec_id", "embedding").mapInArrow(code, f"m int, vec_id {kinds['vec_id']}, home int, code binary, query binary, visit array<int>"))
     held = coded.groupBy("m", F.col("home").alias("c")).agg(F.count(F.lit(1)).alias("held"))
     asked = coded.select("m", F.explode("visit").alias("c")).groupBy("m", "c").agg(F.count(F.lit(1)).alias("asked"))
     plan = held.join(asked, ["m", "c"]).select("m", "c", F.ceil(F.col("held") / BLOCK_MEMBERS).cast("int").alias("blocks"), F.ceil(F.col("asked") / BLOCK_QUERIES).cast("int").alias("slices"))
@@ -249,12 +248,12 @@ def similar_pairs(df: DataFrame, k: int = K, min_cosine: float = 0.8, probes: in
         return pa.table({"a": once[:, 0], "b": once[:, 1]})
 
     pairs = asking.groupBy(*[f"q_{c}" for c in cell]).cogroup(stored.select(*cell, "vec_id", "code").groupBy(*cell)).applyInArrow(compare, "a bigint, b bigint").distinct()
-    units = distinct.select("vec_id", "unit")
-    both = pairs.join(units.withColumnsRenamed({"vec_id": "a", "unit": "ua"}), "a").join(units.withColumnsRenamed({"vec_id": "b", "unit": "ub"}), "b")
+    vectors = distinct.select("vec_id", "embedding")
+    both = pairs.join(vectors.withColumnsRenamed({"vec_id": "a", "embedding": "ua"}), "a").join(vectors.withColumnsRenamed({"vec_id": "b", "embedding": "ub"}), "b")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cosine = np.einsum("ij,ij->i", matrix(batch.column("ua"), DIMENSIONS), matrix(batch.column("ub"), DIMENSIONS)) if batch.num_rows else np.zeros(0)
+            cosine = np.einsum("ij,ij->i", normal(batch.column("ua")), normal(batch.column("ub"))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.clip(cosine, -1, 1))], names=["a", "b", "cosine"])
 
     scored = both.select("a", "b", "ua", "ub").mapInArrow(exact, "a bigint, b bigint, cosine double").where(F.col("cosine") >= min_cosine)
