@@ -274,9 +274,9 @@ def neighbour_pairs(df: DataFrame, k: int = K, min_cosine: float = 0.8, probes:
     by_id = Window.partitionBy(*group).orderBy("vec_id")
     first = members.withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= k + 1)
     first = first.groupBy(*group).agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    named = distinct.select(*[F.col(c) for c in group], F.col("vec_id").alias("rep"), "n")
-    first = first.join(named, [F.coalesce(first["model"], F.lit("")) == F.coalesce(named["model"], F.lit("")), first["model"].eqNullSafe(named["model"]), first["h1"] == named["h1"], first["h2"] == named["h2"]])
-    first = cut(first.select("rep", "ids", named["model"].alias("model"), named["h1"].alias("h1"), named["h2"].alias("h2"), "n"))
+    named = distinct.select(F.col("model").alias("gm"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("vec_id").alias("rep"), "n")
+    same = [F.col("h1") == F.col("g1"), F.col("h2") == F.col("g2"), F.col("model").eqNullSafe(F.col("gm"))]
+    first = cut(first.join(named, same).select("rep", "ids", "gm", "g1", "g2", "n"))
     edges = scored.select(F.col("a").alias("rep"), F.col("b").alias("other"), F.round("cosine", TIE_DECIMALS).alias("cosine"))
     edges = edges.unionByName(edges.select(F.col("other").alias("rep"), F.col("rep").alias("other"), "cosine"))
     own = first.where(F.size("ids") > 1).select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("cosine"))
@@ -287,14 +287,13 @@ def neighbour_pairs(df: DataFrame, k: int = K, min_cosine: float = 0.8, probes:
     ranked = Window.partitionBy("rep").orderBy(F.desc("cosine"), "vec")
     near = reached.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= k + 1)
     near = near.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("_r", "vec", "cosine"))).alias("near"))
-    near = cut(near.join(first.select("rep", *group, "n"), "rep"))
+    near = cut(near.join(first.select("rep", "gm", "g1", "g2", "n"), "rep"))
     lone = near.where(F.col("n") == 1).select(F.col("rep").alias("vec_id"), "near")
     shared = near.where(F.col("n") > 1).drop("rep")
-    same = lambda a, b: [a["h1"] == b["h1"], a["h2"] == b["h2"], a["model"].eqNullSafe(b["model"])]
     cold, hot = shared.where(F.col("n") <= HOT_GROUP), broadcast_if_small(shared.where(F.col("n") > HOT_GROUP))
     lists = lone
     for side in (cold, hot):
-        lists = lists.unionByName(members.join(side, same(members, side)).select("vec_id", "near"))
+        lists = lists.unionByName(members.join(side, same).select("vec_id", "near"))
     others = F.slice(F.filter("near", lambda x: x["vec"] != F.col("vec_id")), 1, k)
     out = lists.select("vec_id", F.explode(others).alias("x")).select(F.least("vec_id", "x.vec").alias("vec_a"), F.greatest("vec_id", "x.vec").alias("vec_b"), "x.cosine")
     return out.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
