@@ -16,6 +16,7 @@ from inkstone.session import cut
 from inkstone.session import read_table as table
 
 MODEL = "lumen-embed-1"
+PIVOT = ("Braquoth", "Haldwirne", "Odrmoth", "Ystmol")
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,6 +126,14 @@ def community_examples(spark: SparkSession, sf: str) -> DataFrame:
     return M.examples(assigned, nodes)
 
 
+def community_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of each community by author, one column for each of four authors and one for the rest."""
+    assigned, _, nodes = _component_communities(spark, sf)
+    who = F.when(F.col("author").isin(*PIVOT), F.col("author")).otherwise("others")
+    counts = assigned.join(nodes, "id").withColumn("who", who).groupBy("community").pivot("who", [*PIVOT, "others"]).agg(F.count(F.lit(1)))
+    return counts.fillna(0)
+
+
 def community_links(spark: SparkSession, sf: str) -> DataFrame:
     assigned, strong, _ = _component_communities(spark, sf)
     return M.with_inner_links(assigned, strong).select("community", "id", "n_links", F.round("strongest", 4).alias("strongest"))
@@ -155,7 +164,7 @@ def author_pairs_chosen(spark: SparkSession, sf: str) -> DataFrame:
     return Q.choose_pairs(_author_counts(spark, sf))
 
 
-ALL = (cross_pairs_stats, similarity_histogram, top_neighbours, cross_links, links_per_pair, strongest_links, links_by_author_pair, unlinked_chunks, components, leiden_assign, leiden_sweep, leiden_modularity, community_modularity, community_members, community_summary, community_top10, community_examples, community_links, community_centroid, central_passages, author_pairs, author_pairs_chosen)
+ALL = (cross_pairs_stats, similarity_histogram, top_neighbours, cross_links, links_per_pair, strongest_links, links_by_author_pair, unlinked_chunks, components, leiden_assign, leiden_sweep, leiden_modularity, community_modularity, community_members, community_summary, community_top10, community_examples, community_pivot, community_links, community_centroid, central_passages, author_pairs, author_pairs_chosen)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -207,6 +216,7 @@ def oracle_sql() -> dict[str, str]:
             coalesce(sum(size) FILTER (n_authors >= 2), 0)::BIGINT AS chunks_in_cross, min(size) FILTER (n_authors >= 2) AS min_size, median(size) FILTER (n_authors >= 2) AS median_size, max(size) FILTER (n_authors >= 2) AS max_size FROM sized""",
         "community_top10": COMMUNITY + "SELECT community, size, n_authors FROM sized ORDER BY n_authors DESC, size DESC, community LIMIT 10",
         "community_examples": COMMUNITY + "SELECT community, author, count(*) AS n, min(id) AS example FROM comp JOIN nodes USING (id) GROUP BY ALL",
+        "community_pivot": COMMUNITY + "SELECT community, " + ", ".join(f"count(*) FILTER (author = '{a}') AS {a}" for a in PIVOT) + ", count(*) FILTER (author NOT IN (" + ", ".join(f"'{a}'" for a in PIVOT) + ")) AS others FROM comp JOIN nodes USING (id) GROUP BY community",
         "community_links": COMMUNITY + """, e AS (SELECT a AS id, score FROM strong UNION ALL SELECT b, score FROM strong)
             SELECT community, id, count(score) AS n_links, round(max(score), 4) AS strongest FROM comp LEFT JOIN e USING (id) GROUP BY ALL""",
         "community_centroid": "SELECT label, pos::INT AS pos, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(len(embedding)::BIGINT)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, pos",

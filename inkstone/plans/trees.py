@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions.salvage import clean_summary, model_json
+from inkstone.functions.text import word_count
 from inkstone.operators import nested
 from inkstone.operators import tree as T
+from inkstone.plans.base import pages, pages_sql
 from inkstone.plans.records import WALK
 from inkstone.session import cut
 from inkstone.session import read_table as table
@@ -85,13 +87,22 @@ def json_salvage(spark: SparkSession, sf: str) -> DataFrame:
     return _shaped(spark, sf).select("tree_id", "node_path", clean_summary(F.col("raw")).alias("summary"))
 
 
+def summary_redo(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections without a usable summary whose pages have text enough: how much of it a new summary would be made from."""
+    works = table(spark, sf, "trees").where("tree_id IS NOT NULL AND doc IS NOT NULL").groupBy("tree_id").agg(F.min("doc").alias("doc"))
+    s = _nodes(spark, sf).where("summary IS NULL AND start_index IS NOT NULL AND end_index >= start_index AND end_index - start_index < 5").join(works, "tree_id")
+    text = T.page_texts(s, pages(spark, sf, "text"))
+    joined = s.select("tree_id", "node_path", "doc", F.col("start_index").alias("first_page"), F.col("end_index").alias("last_page")).join(text, ["doc", "first_page", "last_page"])
+    return joined.withColumn("words", word_count(F.col("text"))).where(F.col("words") >= 30).select("tree_id", "node_path", "words")
+
+
 def summary_repair_counts(spark: SparkSession, sf: str) -> DataFrame:
     s = _shaped(spark, sf).withColumn("clean", clean_summary(F.col("raw")))
     status = F.when(F.col("clean").isNull(), "redo").when(F.col("clean") == F.trim("raw"), "ok").otherwise("cleaned")
     return s.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-ALL = (tree_walk, tree_leaves, tree_outline, tree_describe, drop_sections, keep_pages, collapse_dupes, accept_flash, llm_json_parse, json_salvage, summary_repair_counts)
+ALL = (tree_walk, tree_leaves, tree_outline, tree_describe, drop_sections, keep_pages, collapse_dupes, accept_flash, llm_json_parse, json_salvage, summary_redo, summary_repair_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -130,6 +141,10 @@ def oracle_sql() -> dict[str, str]:
         "collapse_dupes": NODES + """, kids AS (SELECT tree_id, parent_path AS node_path, count(*) AS k, min(start_index) AS s, min(end_index) AS e FROM n GROUP BY ALL),
             kept AS (SELECT n.tree_id, n.node_path FROM n LEFT JOIN kids USING (tree_id, node_path) WHERE NOT coalesce(k = 1 AND s IS NOT DISTINCT FROM start_index AND e IS NOT DISTINCT FROM end_index, false))
             SELECT a.tree_id, a.node_path, coalesce(arg_max(b.node_path, length(b.node_path)), '') AS parent FROM kept a LEFT JOIN kept b ON b.tree_id = a.tree_id AND starts_with(a.node_path, b.node_path || '/') GROUP BY ALL""",
+        "summary_redo": NODES + ", " + pages_sql("text") + r""", s AS (SELECT n.tree_id, node_path, t.doc, start_index AS f, end_index AS l FROM n JOIN (SELECT tree_id, min(doc) AS doc FROM trees WHERE tree_id IS NOT NULL AND doc IS NOT NULL GROUP BY tree_id) t USING (tree_id)
+            WHERE summary IS NULL AND start_index IS NOT NULL AND end_index >= start_index AND end_index - start_index < 5),
+            e AS (SELECT *, unnest(range(f, l + 1)) AS page FROM s), x AS (SELECT tree_id, node_path, substring(string_agg(coalesce(text, ''), chr(10) ORDER BY e.page), 1, 12000) AS text FROM e LEFT JOIN p ON p.doc = e.doc AND p.page = e.page GROUP BY tree_id, node_path),
+            w AS (SELECT tree_id, node_path, len(regexp_extract_all(text, '[^\s]+'))::INT AS words FROM x) SELECT * FROM w WHERE words >= 30""",
         "accept_flash": NODES + """, meta AS (SELECT tree_id, coalesce(j->>'$.toc_source', j->>'$.result.toc_source') AS toc_source FROM opened), ln AS (SELECT tree_id, count(*) AS leaves FROM leaf GROUP BY tree_id)
             SELECT tree_id, coalesce(toc_source NOT IN ('pages', 'unreadable'), false) AND coalesce(leaves, 0) >= 3 AS accepted FROM meta LEFT JOIN ln USING (tree_id)""",
     }
