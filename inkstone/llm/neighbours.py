@@ -8,7 +8,7 @@ and each estimate has an error bound. Only pairs whose upper bound reaches the w
 is not below the k-th best lower bound of the query, go on to the exact cosine.
 
 Clusters of many members are searched in blocks and their queries in slices, so no task holds a
-whole cluster. What travels to the clusters is a code of a byte a dimension, not the vector.
+whole cluster. What travels to the clusters is a code of four bits a dimension, not the vector.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ SAMPLE_PER_CENTROID = 24
 PROBES = 20
 #: Standard deviations of the error bound of an estimate.
 EPSILON = 2.5
+#: What the error bound allows for queries that travel in four bits a dimension: epsilon standard deviations of it, for unit vectors.
+TRAVEL = 0.04
 #: Members and queries that one task compares.
 BLOCK_MEMBERS, BLOCK_QUERIES = 4096, 16384
 #: Groups of exact copies above this size get their neighbours by broadcast instead of a shuffled join.
@@ -91,6 +93,22 @@ def encode(unit: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.n
     return bits, np.stack([norm, np.maximum(aligned, 1e-3), (residual * centre).sum(axis=1)], axis=1).astype(np.float32)
 
 
+def pack(turned: np.ndarray) -> np.ndarray:
+    """A rotated query as it travels to the clusters: least value and step in single floats, then four bits a dimension."""
+    low = turned.min(axis=1, keepdims=True).astype(np.float32)
+    step = np.maximum((turned.max(axis=1, keepdims=True) - low) / np.float32(15), np.float32(1e-12)).astype(np.float32)
+    cut4 = np.clip(np.rint((turned - low) / step), 0, 15).astype(np.uint8)
+    return np.concatenate([np.concatenate([low, step], axis=1).view(np.uint8), cut4[:, ::2] << 4 | cut4[:, 1::2]], axis=1)
+
+
+def unpack(packed: np.ndarray) -> np.ndarray:
+    scale = np.ascontiguousarray(packed[:, :8]).view(np.float32)
+    halves = packed[:, 8:]
+    cut4 = np.empty((len(packed), 2 * halves.shape[1]), dtype=np.float32)
+    cut4[:, ::2], cut4[:, 1::2] = halves >> 4, halves & 15
+    return scale[:, :1] + scale[:, 1:] * cut4
+
+
 def words(bits: np.ndarray) -> np.ndarray:
     """Rows of bytes as rows of 64-bit words, padded with zeros."""
     extra = -bits.shape[1] % 8
@@ -130,7 +148,8 @@ def estimate(turned: np.ndarray, own: np.ndarray, codes: np.ndarray, scalars: np
     # the cut to four bits moves the inner product by at most about this much (one standard deviation, times epsilon)
     bound = np.linalg.norm(turned, axis=1)[:, None] * spread[None, :]
     bound += (np.float32(epsilon / np.sqrt(12)) * step)[:, None] * stretch[None, :]
-    bound += np.float32(0.01)
+    # and so does the cut before the journey
+    bound += np.float32(TRAVEL)
     return cosine, bound
 
 
@@ -209,9 +228,7 @@ def similar_pairs(df: DataFrame, k: int = K, min_cosine: float = 0.8, probes: in
                 home = near.argmax(axis=1).astype(np.int32)
                 bits, scalars = encode(own, centres[home], turn)
                 turned = own @ turn
-                scale = np.abs(turned).max(axis=1, keepdims=True) / 127
-                coarse = np.rint(turned / scale).astype(np.int8)
-                flat = np.concatenate([scale.astype(np.float32).view(np.uint8), coarse.view(np.uint8)], axis=1)
+                flat = pack(turned)
                 stored = np.concatenate([np.ascontiguousarray(scalars).view(np.uint8), bits], axis=1)
                 binary = lambda m: pa.array([r.tobytes() for r in m], type=pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * count), pa.array(visit.ravel()))
@@ -237,7 +254,7 @@ def similar_pairs(df: DataFrame, k: int = K, min_cosine: float = 0.8, probes: in
             scalars = np.ascontiguousarray(packed[:, :12]).view(np.float32)
             codes = words(packed[:, 12:])
             asked = np.frombuffer(b"".join(left.column("query").to_pylist()), dtype=np.uint8).reshape(left.num_rows, -1)
-            turned = np.ascontiguousarray(asked[:, 4:]).view(np.int8) * np.ascontiguousarray(asked[:, :4]).view(np.float32)
+            turned = unpack(asked)
             base = centre @ turn
             own = turned @ base
             a, b = candidates(left.column("q_id").to_numpy(), turned - base, own, right.column("vec_id").to_numpy(), codes, scalars, k, min_cosine)
