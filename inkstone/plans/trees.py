@@ -90,10 +90,14 @@ def json_salvage(spark: SparkSession, sf: str) -> DataFrame:
 def summary_redo(spark: SparkSession, sf: str) -> DataFrame:
     """Sections without a usable summary whose pages have text enough: how much of it a new summary would be made from."""
     works = table(spark, sf, "trees").where("tree_id IS NOT NULL AND doc IS NOT NULL").groupBy("tree_id").agg(F.min("doc").alias("doc"))
-    s = _nodes(spark, sf).where("summary IS NULL AND start_index IS NOT NULL AND end_index >= start_index AND end_index - start_index < 5").join(works, "tree_id")
-    text = T.page_texts(s, pages(spark, sf, "text"))
-    joined = s.select("tree_id", "node_path", "doc", F.col("start_index").alias("first_page"), F.col("end_index").alias("last_page")).join(text, ["doc", "first_page", "last_page"])
-    return joined.withColumn("words", word_count(F.col("text"))).where(F.col("words") >= 30).select("tree_id", "node_path", "words")
+    p = pages(spark, sf, "text")
+    ends = p.groupBy("doc").agg(F.min("page").alias("least"), F.max("page").alias("most"))
+    s = _nodes(spark, sf).where(clean_summary(F.col("summary")).isNull()).where("start_index IS NOT NULL AND end_index >= start_index").join(works, "tree_id").join(ends, "doc")
+    # pages a work does not have add line ends only: behind its last page they change nothing, before its first they fill the text at most
+    s = s.withColumn("start_index", F.greatest("start_index", F.col("least") - T.REDO_CLIP)).withColumn("end_index", F.least("end_index", "most")).where("end_index >= start_index")
+    words = T.page_texts(s, p).select("doc", "first_page", "last_page", word_count(F.col("text")).alias("words")).where(F.col("words") >= 30)
+    joined = s.select("tree_id", "node_path", "doc", F.col("start_index").alias("first_page"), F.col("end_index").alias("last_page")).join(words, ["doc", "first_page", "last_page"])
+    return joined.select("tree_id", "node_path", "words")
 
 
 def summary_repair_counts(spark: SparkSession, sf: str) -> DataFrame:

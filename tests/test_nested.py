@@ -75,3 +75,14 @@ def test_cleaning_of_trees(spark):
     d = T.describe(n, "doc").first()
     assert (d["nodes"], d["leaves"], d["depth"], d["min_pages"], d["max_pages"], d["summaries"]) == (6, 4, 3, 2, 11, 1)
     assert [r["line"] for r in T.outline(n, "doc").orderBy("line_no").collect()] == ["Preface (p. 1)", "Body (p. 4)", "  Same (p. 4)", "Index (p. 21)"]
+
+
+def test_redo_takes_long_sections_and_unusable_summaries(spark, tmp_path):
+    from inkstone.plans.trees import summary_redo
+
+    good = "A summary that is long enough to be kept as it is."
+    sections = [(1, 6, None), (1, 2, "Please provide the text of the section so that I can summarise it."), (2, 2, "stub"), (1, 2, good), (3, 2_000_000_000, None)]
+    raw = json.dumps({"structure": [{"title": "t", "start_index": a, "end_index": b, "summary": s} for a, b, s in sections]})
+    spark.createDataFrame([(1, "d", raw)], "tree_id bigint, doc string, raw string").write.parquet(str(tmp_path / "trees.parquet"))
+    spark.createDataFrame([("d", n, "word " * 40) for n in range(1, 9)], "doc string, page int, text string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r["node_path"]: r["words"] for r in summary_redo(spark, str(tmp_path)).collect()} == {"0": 240, "1": 80, "2": 40, "4": 240}

@@ -99,3 +99,11 @@ def test_truth_of_json_values(spark):
     cases = [('"false"', True), ("false", False), ("null", False), ("0", False), ("2", True), ('""', False), ("[]", False), ("[0]", True), ("{}", False), (None, False)]
     df = spark.createDataFrame(cases, "j string, want boolean").select(salvage.truthy(F.try_parse_json("j")).alias("got"), "want")
     assert df.where(~F.col("got").eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_text_of_ranges_is_whole_up_to_its_clip(spark):
+    pages = spark.createDataFrame([("d", 1, "abc"), ("d", 2, None), ("d", 4, "xyz"), ("d", 5, "end")], "doc string, page int, text string")
+    ranges = spark.createDataFrame([("d", 1, 5), ("d", 4, 4)], "doc string, first_page int, last_page int")
+    whole = "abc\n\n\nxyz\nend"
+    for clip in range(1, len(whole) + 3):
+        assert {r["first_page"]: r["text"] for r in L.range_text(ranges, pages, clip).collect()} == {1: whole[:clip], 4: "xyz"[:clip]}
