@@ -98,16 +98,16 @@ def chunk_size_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def find_titles(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections of each work's first readable tree, anchored in the text of its pages."""
+    """Sections of every tree, anchored in the text of its work's pages."""
     trees = unique(table(spark, sf, "trees"), ["tree_id"], ["doc", "raw"]).where("doc IS NOT NULL AND raw IS NOT NULL")
-    first = trees.withColumn("ok", nested.parse_record(F.col("raw")).isNotNull()).where("ok").groupBy("doc").agg(F.min_by("raw", "tree_id").alias("raw"))
-    nodes = cut(nested.section_columns(nested.flatten_tree(first, "doc", "raw")))
+    nodes = cut(nested.section_columns(nested.flatten_tree(trees, "tree_id", "raw")).join(trees.select("tree_id", "doc"), "tree_id"))
     p = pages(spark, sf, "text")
     starts = cut(page_offsets(p))
-    n = nodes.select("doc", "node_path", "title", T.sort_key(F.col("node_path")).alias("ord"), F.coalesce("start_index", F.lit(1)).alias("first_page"), F.coalesce("end_index", "start_index", F.lit(1)).alias("last_page"))
+    n = nodes.select("tree_id", "doc", "node_path", "title", T.sort_key(F.col("node_path")).alias("ord"), F.coalesce("start_index", F.lit(1)).alias("first_page"), F.coalesce("end_index", "start_index", F.lit(1)).alias("last_page"))
     at = page_to_offset(n.select("doc", F.col("first_page").alias("page")).distinct(), starts)
     n = n.join(at.select("doc", F.col("page").alias("first_page"), F.col("off").alias("lo")), ["doc", "first_page"], "left")
-    return C.section_spans(n, p.join(starts.select("doc", "page", "start_off"), ["doc", "page"]))
+    spans = C.section_spans(n, p.join(starts.select("doc", "page", "start_off"), ["doc", "page"]), "tree_id")
+    return spans.join(trees.select("tree_id", "doc"), "tree_id").select("tree_id", "doc", "node_path", "start", "end")
 
 
 SECTION_COLUMNS = ("doc", "author", "path", "path_ids", "start_page", "end_page", "section_summary")

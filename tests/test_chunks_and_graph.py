@@ -150,3 +150,23 @@ def test_embedding_provider(spark):
     df = spark.createDataFrame([(1, "pride and habit"), (2, "pride and habit"), (3, ""), (4, None)], "k int, t string")
     got = {r["k"]: r["embedding"] for r in C.embed_with(df, ["k"], "t", HashingEmbedder(16)).collect()}
     assert got[1] == got[2] and abs(sum(x * x for x in got[1]) - 1) < 1e-6 and got[3] is None and got[4] is None
+
+
+def test_titles_of_every_tree_are_found_also_over_page_ends(spark, tmp_path):
+    import json
+
+    from inkstone.plans.chunks import find_titles
+
+    texts = ["preface here\nOf the Nature", "of Moral Virtue\nbody text", "", "more words\nThe Last", None, "Things of All\nend"]
+    starts = [sum(len(t or "") + 1 for t in texts[:k]) for k in range(len(texts))]
+    first, last = len("preface here\n"), starts[3] + len("more words\n")
+
+    def raw(*sections):
+        return json.dumps({"structure": [{"title": t, "start_index": a, "end_index": b} for t, a, b in sections]})
+
+    trees = [(1, "d", raw(("Of the Nature of Moral Virtue", 1, 2), ("The last things of all", 4, 6))), (2, "d", raw(("Moral virtue", 1, 3), ("The last things of all", 4, 5)))]
+    spark.createDataFrame(trees, "tree_id bigint, doc string, raw string").write.parquet(str(tmp_path / "trees.parquet"))
+    spark.createDataFrame([("d", k + 1, t) for k, t in enumerate(texts)], "doc string, page int, text string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r["tree_id"], r["node_path"]): r["start"] for r in find_titles(spark, str(tmp_path)).collect()}
+    # of the second tree the last title does not end on the section's pages, so it begins at its first page
+    assert got == {(1, "0"): first, (1, "1"): last, (2, "0"): starts[1] + 3, (2, "1"): starts[3]}
