@@ -100,7 +100,7 @@ def page_to_offset(spark: SparkSession, sf: str) -> DataFrame:
 def pages_interval_text(spark: SparkSession, sf: str) -> DataFrame:
     p = pages(spark, sf, "text")
     ranges = p.select("doc", F.col("page").alias("first_page"), (F.col("page") + 1).alias("last_page"))
-    return L.range_text(ranges, p, 400)
+    return L.range_text(ranges, p)
 
 
 ALL = (page_quality, page_route, route_ocr_override, page_report, page_reasons, ocr_confidence, token_counts, clean_text, body_font_mode, running_heads, body_lines, dropped_lines, page_offsets, offset_to_page, page_to_offset, pages_interval_text)

@@ -107,3 +107,11 @@ def test_text_of_ranges_is_whole_up_to_its_clip(spark):
     whole = "abc\n\n\nxyz\nend"
     for clip in range(1, len(whole) + 3):
         assert {r["first_page"]: r["text"] for r in L.range_text(ranges, pages, clip).collect()} == {1: whole[:clip], 4: "xyz"[:clip]}
+
+
+def test_interval_text_keeps_both_pages(spark, tmp_path):
+    from inkstone.plans.pages import pages_interval_text
+
+    spark.createDataFrame([("d", 1, "a" * 1300), ("d", 2, "b" * 1300)], "doc string, page int, text string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["first_page"]: r["text"] for r in pages_interval_text(spark, str(tmp_path)).collect()}
+    assert got == {1: "a" * 1300 + "\n" + "b" * 1300, 2: "b" * 1300 + "\n"}
