@@ -22,6 +22,13 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     return cut(nested.section_columns(nested.flatten_tree(table(spark, sf, "trees"), "tree_id", "raw")))
 
 
+def _records(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All sections with their scalar fields, and how each tree was built; records are taken apart once."""
+    rows = cut(nested.flatten_records(table(spark, sf, "trees"), "tree_id", "raw").where("table IN ('', 'sections')"))
+    sections = rows.where("table = 'sections'").select("tree_id", F.col("row_id").alias("node_path"), F.col("parent_id").alias("parent_path"), "ordinal", "depth", "value")
+    return nested.section_columns(sections), T.tree_meta(rows, "tree_id")
+
+
 def _works(spark: SparkSession, sf: str) -> DataFrame:
     trees = table(spark, sf, "trees").where("tree_id IS NOT NULL").groupBy("tree_id").agg(F.min("doc").alias("doc"))
     return trees.join(table(spark, sf, "corpus"), "doc")
@@ -40,7 +47,8 @@ def tree_outline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_describe(spark: SparkSession, sf: str) -> DataFrame:
-    return T.describe(_nodes(spark, sf), "tree_id")
+    nodes, meta = _records(spark, sf)
+    return T.describe(nodes, "tree_id", meta)
 
 
 def drop_sections(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,12 +66,10 @@ def collapse_dupes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def accept_flash(spark: SparkSession, sf: str) -> DataFrame:
-    trees = table(spark, sf, "trees").where("tree_id IS NOT NULL AND raw IS NOT NULL").groupBy("tree_id").agg(F.min("raw").alias("raw"))
-    parsed = nested.parse_record(F.col("raw"))
-    source = F.coalesce(F.try_variant_get(parsed, "$.toc_source", "string"), F.try_variant_get(parsed, "$.result.toc_source", "string"))
-    meta = trees.select("tree_id", source.alias("toc_source"))
-    counts = T.leaves(_nodes(spark, sf), "tree_id").groupBy("tree_id").agg(F.count(F.lit(1)).alias("leaves"))
-    return T.accept_flash(meta, counts, "tree_id")
+    nodes, meta = _records(spark, sf)
+    trees = table(spark, sf, "trees").where("tree_id IS NOT NULL AND raw IS NOT NULL").select("tree_id").distinct()
+    counts = T.leaves(nodes, "tree_id").groupBy("tree_id").agg(F.count(F.lit(1)).alias("leaves"))
+    return T.accept_flash(trees.join(meta.select("tree_id", F.nullif("source", F.lit("llm")).alias("toc_source")), "tree_id", "left"), counts, "tree_id")
 
 
 def llm_json_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,17 +139,21 @@ def oracle_sql() -> dict[str, str]:
         "tree_leaves": NODES + "SELECT tree_id, node_path FROM leaf",
         "tree_outline": NODES + """SELECT * FROM (SELECT tree_id, (row_number() OVER (PARTITION BY tree_id ORDER BY ord))::INT AS line_no,
             repeat('  ', depth) || coalesce(title, '') || ' (p. ' || coalesce(start_index::VARCHAR, '?') || ')' AS line, count(*) OVER (PARTITION BY tree_id) AS of_lines FROM n WHERE depth < 2) WHERE line_no <= 25""",
-        "tree_describe": NODES + """, b AS (SELECT tree_id, count(*) AS leaves, min(end_index - start_index + 1) AS min_pages, trunc(median(end_index - start_index + 1))::INT AS median_pages, max(end_index - start_index + 1) AS max_pages FROM leaf GROUP BY tree_id)
-            SELECT tree_id, count(*) AS nodes, (max(depth) + 1)::INT AS depth, count_if(coalesce(trim(summary), '') <> '')::BIGINT AS summaries, any_value(leaves) AS leaves, any_value(min_pages) AS min_pages, any_value(median_pages) AS median_pages, any_value(max_pages) AS max_pages
-            FROM n LEFT JOIN b USING (tree_id) GROUP BY tree_id""",
+        "tree_describe": NODES + """, b AS (SELECT tree_id, count(*) AS leaves, min(end_index - start_index + 1) AS min_pages, median(end_index - start_index + 1) AS median_pages, max(end_index - start_index + 1) AS max_pages FROM leaf GROUP BY tree_id),
+            d AS (SELECT tree_id, count(*) AS nodes, max(depth) + 1 AS depth, count_if(coalesce(trim(summary), '') <> '') AS summaries, any_value(leaves) AS leaves, any_value(min_pages) AS min_pages, any_value(median_pages) AS median_pages, any_value(max_pages) AS max_pages FROM n LEFT JOIN b USING (tree_id) GROUP BY tree_id)
+            SELECT o.tree_id, coalesce(j->>'$._meta.mode', j->>'$.result._meta.mode') AS mode, coalesce(j->>'$.toc_source', j->>'$.result.toc_source', 'llm') AS source, try_cast(coalesce(j->>'$._meta.seconds', j->>'$.result._meta.seconds') AS DOUBLE) AS seconds,
+                coalesce(nodes, 0)::BIGINT AS nodes, coalesce(leaves, 0)::BIGINT AS leaves, coalesce(d.depth, 0)::INT AS depth, coalesce(summaries, 0)::BIGINT AS summaries,
+                CASE WHEN nodes IS NULL THEN 0 ELSE min_pages END::INT AS min_pages, CASE WHEN nodes IS NULL THEN 0 ELSE median_pages END::DOUBLE AS median_pages, CASE WHEN nodes IS NULL THEN 0 ELSE max_pages END::INT AS max_pages
+            FROM opened o LEFT JOIN d USING (tree_id) WHERE j IS NOT NULL""",
         "drop_sections": NODES + f""", bad AS (SELECT n.tree_id, node_path FROM n JOIN works USING (tree_id)
             WHERE len(list_filter(list_append(coalesce(exclude, []), 'preface'), lambda e: trim(e) <> '' AND starts_with(lower(trim(n.title)), lower(trim(e))))) > 0)
             SELECT tree_id, node_path FROM n WHERE {GONE}""",
         "keep_pages": NODES + f""", known AS (SELECT n.*, w.f, w.l FROM n LEFT JOIN (SELECT tree_id, first_page + 2 AS f, last_page - 10 AS l FROM works) w USING (tree_id)),
             bad AS (SELECT tree_id, node_path FROM known WHERE coalesce(coalesce(end_index, l) < f, false) OR coalesce(coalesce(start_index, f) > l, false))
             SELECT tree_id, node_path, greatest(start_index, f)::INT AS start_index, least(end_index, l)::INT AS end_index FROM known n WHERE {GONE}""",
-        "collapse_dupes": NODES + """, kids AS (SELECT tree_id, parent_path AS node_path, count(*) AS k, min(start_index) AS s, min(end_index) AS e FROM n GROUP BY ALL),
-            kept AS (SELECT n.tree_id, n.node_path FROM n LEFT JOIN kids USING (tree_id, node_path) WHERE NOT coalesce(k = 1 AND s IS NOT DISTINCT FROM start_index AND e IS NOT DISTINCT FROM end_index, false))
+        "collapse_dupes": NODES + """, alone AS (SELECT tree_id, parent_path FROM n GROUP BY ALL HAVING count(*) = 1),
+            kept AS (SELECT tree_id, node_path FROM n WHERE NOT EXISTS (SELECT 1 FROM alone a JOIN n m ON m.tree_id = a.tree_id AND m.node_path = a.parent_path
+                WHERE a.tree_id = n.tree_id AND a.parent_path = n.parent_path AND m.start_index IS NOT DISTINCT FROM n.start_index AND m.end_index IS NOT DISTINCT FROM n.end_index))
             SELECT a.tree_id, a.node_path, coalesce(arg_max(b.node_path, length(b.node_path)), '') AS parent FROM kept a LEFT JOIN kept b ON b.tree_id = a.tree_id AND starts_with(a.node_path, b.node_path || '/') GROUP BY ALL""",
         "summary_redo": NODES + ", " + pages_sql("text") + r""", s AS (SELECT n.tree_id, node_path, t.doc, start_index AS f, end_index AS l FROM n JOIN (SELECT tree_id, min(doc) AS doc FROM trees WHERE tree_id IS NOT NULL AND doc IS NOT NULL GROUP BY tree_id) t USING (tree_id)
             WHERE summary IS NULL AND start_index IS NOT NULL AND end_index >= start_index AND end_index - start_index < 5),
