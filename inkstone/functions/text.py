@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+#: White space of any script, in a form that Java and RE2 read alike.
+SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# fixed value: where a sentence may end; what it matches is left out between two sentences
+SENTENCE_BREAK = rf"""(?<=[.!?;:])["'”’)]*{SPACE}+(?=["'“‘(]?[A-Z0-9])"""
+
+
 def rejoin_hyphens(text: Column) -> Column:
     """Words cut by a hyphen at a line end, made whole."""
     return F.regexp_replace(text, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")
@@ -31,8 +37,12 @@ def mask_digits(line: Column) -> Column:
 
 
 def one_line(text: Column) -> Column:
-    """Hyphenation undone, runs of white space as one blank, trimmed."""
-    return F.trim(F.regexp_replace(rejoin_hyphens(text), r"\s+", " "))
+    """Lines as one flow of text: words cut by a hyphen at a line's end made whole, line ends as one blank, trimmed.
+
+    White space within a line stays as it is.
+    """
+    whole = F.regexp_replace(text, r"(?U)(\w)-\n(\w)", "$1$2")
+    return F.regexp_replace(F.regexp_replace(whole, f"{SPACE}*\n{SPACE}*", " "), f"^{SPACE}+|{SPACE}+$", "")
 
 
 def squash(text: Column) -> Column:
@@ -50,33 +60,31 @@ def squash_compatible(text: Column) -> Column:
     return squash(F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(text)))
 
 
-def split_sentences(text: Column) -> Column:
-    """Pieces after ``. ! ? : ;`` (with closing marks) and white space before a capital or digit; a plain splitter.
+def sentences(text: Column, base: Column | None = None, longest: int = 120) -> Column:
+    """``array<struct<text, start, end>>``: sentences in order, cleaned by ``one_line``, and where each stands in the text (0-based, plus ``base``).
 
-    Pieces are cleaned with ``one_line``; empty ones are dropped. Bracketed references are kept whole by ``merge_brackets``.
+    Nothing is cut within an open square bracket, unless what stands open has ``longest`` words. Null and blank texts have none.
     """
-    pieces = F.split(F.coalesce(text, F.lit("")), r"""(?<=[.!?;:])["'”’)]*\s+(?=["'“‘(]?[A-Z0-9])""")
-    return F.filter(F.transform(pieces, one_line), lambda s: s != "")
-
-
-def merge_brackets(pieces: Column, longest: int = 120) -> Column:
-    """Joins a piece to the one before while a square bracket is open there and it has fewer than ``longest`` words."""
-
-    def step(done: Column, piece: Column) -> Column:
-        last = F.element_at(done, -1)
-        opened = F.size(F.split(last, r"\[")) > F.size(F.split(last, r"\]"))
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat_ws(" ", last, piece)))
-        return F.when((F.size(done) > 0) & opened & (word_count(last) < longest), joined).otherwise(F.concat(done, F.array(piece)))
-
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
-
-
-def title_pattern(title: Column, most_words: int | None = None) -> Column:
-    """A regular expression for a title: its words with anything but letters and digits between, as whole words."""
-    words = F.regexp_extract_all(F.lower(title), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    if most_words is not None:
-        words = F.slice(words, 1, most_words)
-    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), F.array_join(words, r"[^\p{L}\p{N}]+"), F.lit(r"(?![\p{L}\p{N}])"))
+    # each break is marked on both sides, so that no character is lost and positions can be counted
+    plain = F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "  ")
+    marked = F.split(F.regexp_replace(plain, SENTENCE_BREAK, "\x01$0\x02"), "\x01")
+    kind = "array<struct<raw: string, start: int, fin: int>>"
+
+    def step(done: Column, part: Column) -> Column:
+        gap = F.when(F.contains(part, F.lit("\x02")), F.instr(part, "\x02") - 1).otherwise(0)
+        raw = F.substring(part, F.when(gap > 0, gap + 2).otherwise(1), F.length(part))
+        last = F.try_element_at(done, F.lit(-1))
+        bracket = F.size(F.split(last["raw"], r"\[")) > F.size(F.split(last["raw"], r"\]"))
+        goes_on = (F.size(done) > 0) & bracket & (word_count(last["raw"]) < longest)
+        longer = F.struct(F.concat(last["raw"], F.substring(part, F.lit(1), gap), raw).alias("raw"), last["start"].alias("start"), (last["fin"] + gap + F.length(raw)).cast("int").alias("fin"))
+        start = F.coalesce(last["fin"], F.lit(0)) + gap
+        fresh = F.struct(raw.alias("raw"), start.cast("int").alias("start"), (start + F.length(raw)).cast("int").alias("fin"))
+        return F.when(goes_on, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(fresh)))
+
+    found = F.aggregate(marked, F.array().cast(kind), step)
+    offset = F.lit(0).cast("bigint") if base is None else base.cast("bigint")
+    cleaned = F.transform(found, lambda x: F.struct(one_line(x["raw"]).alias("text"), (x["start"] + offset).alias("start"), (x["fin"] + offset).alias("end")))
+    return F.filter(cleaned, lambda x: x["text"] != "")
 
 
 def author_pair(a: Column, b: Column) -> Column:

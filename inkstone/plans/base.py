@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.functions.text import SPACE
 from inkstone.session import read_table
 
 
@@ -40,3 +41,9 @@ def chunks_sql(*columns: str) -> str:
 
 def questions_sql(*columns: str) -> str:
     return "q AS (SELECT id" + "".join(f", first({x}) AS {x}" for x in columns) + " FROM questions WHERE id IS NOT NULL GROUP BY id)"
+
+
+def one_line_sql(text: str) -> str:
+    """``functions.text.one_line`` as DuckDB sees it."""
+    whole = rf"regexp_replace({text}, '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g')"
+    return rf"regexp_replace(regexp_replace({whole}, '{SPACE}*\n{SPACE}*', ' ', 'g'), '^{SPACE}+|{SPACE}+$', '', 'g')"

@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.functions.text import word_count
+from inkstone.functions.text import SPACE, word_count
 from inkstone.functions.vector import dot, unit, usable
 from inkstone.operators import chunking as C
 from inkstone.operators import graph as G
 from inkstone.operators import nested
 from inkstone.operators import tree as T
-from inkstone.operators.lines import page_offsets, page_to_offset
-from inkstone.plans.base import chunks, chunks_sql, pages, unique
+from inkstone.operators.lines import page_lines, page_offsets
+from inkstone.plans.base import chunks, chunks_sql, one_line_sql, pages, unique
+from inkstone.plans.steps import chunk_works
 from inkstone.providers import HashingEmbedder
 from inkstone.session import cut
 from inkstone.session import read_table as table
@@ -24,7 +25,7 @@ MODEL = "lumen-embed-1"
 
 
 def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
-    return C.sentences(chunks(spark, sf, "text"), ["chunk_id"])
+    return C.sentences(chunks(spark, sf, "text"), ["chunk_id"]).select("chunk_id", "sent_no", "sentence", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
 
 
 def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +59,8 @@ def consecutive_distance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def distance_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return C.threshold(_steps(spark, sf)).select(F.round("threshold", 6).alias("threshold"))
+    limit = C.threshold(_steps(spark, sf))
+    return spark.createDataFrame([(limit,)], "threshold double").select(F.round("threshold", 6).alias("threshold"))
 
 
 def _sentence_distances(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,7 +75,7 @@ def _sentence_distances(spark: SparkSession, sf: str) -> DataFrame:
 
 def semantic_cut(spark: SparkSession, sf: str) -> DataFrame:
     s = cut(_sentence_distances(spark, sf))
-    limit = C.threshold(s).first()["threshold"]
+    limit = C.threshold(s)
     return C.semantic_chunks(s, float("inf") if limit is None else limit, ["chunk_id"])
 
 
@@ -100,16 +102,34 @@ def chunk_size_report(spark: SparkSession, sf: str) -> DataFrame:
 def find_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Sections of every tree, anchored in the text of its work's pages."""
     trees = unique(table(spark, sf, "trees"), ["tree_id"], ["doc", "raw"]).where("doc IS NOT NULL AND raw IS NOT NULL")
-    nodes = cut(nested.section_columns(nested.flatten_tree(trees, "tree_id", "raw")).join(trees.select("tree_id", "doc"), "tree_id"))
-    p = pages(spark, sf, "text")
+    nodes = nested.section_columns(nested.flatten_tree(trees, "tree_id", "raw")).join(trees.select("tree_id", "doc"), "tree_id")
+    p = cut(pages(spark, sf, "text").where("doc IS NOT NULL"))
     starts = cut(page_offsets(p))
-    n = nodes.select("tree_id", "doc", "node_path", "title", T.sort_key(F.col("node_path")).alias("ord"), F.coalesce("start_index", F.lit(1)).alias("first_page"), F.coalesce("end_index", "start_index", F.lit(1)).alias("last_page"))
-    at = page_to_offset(n.select("doc", F.col("first_page").alias("page")).distinct(), starts)
-    n = n.join(at.select("doc", F.col("page").alias("first_page"), F.col("off").alias("lo")), ["doc", "first_page"], "left")
+    n = cut(nodes.select("tree_id", "doc", "node_path", "title", T.sort_key(F.col("node_path")).alias("ord"), F.coalesce("start_index", F.lit(1)).alias("first_page"), F.coalesce("end_index", "start_index", F.lit(1)).alias("last_page")))
     spans = C.section_spans(n, p.join(starts.select("doc", "page", "start_off"), ["doc", "page"]), "tree_id")
     return spans.join(trees.select("tree_id", "doc"), "tree_id").select("tree_id", "doc", "node_path", "start", "end")
 
 
+def _chunked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The chunking step over pages, the trees and the corpus: of each work the tree with the least id that can be read."""
+    trees = table(spark, sf, "trees").where("doc IS NOT NULL")
+    owner = trees.groupBy("tree_id").agg(F.min("doc").alias("doc"))
+    nodes = nested.section_columns(nested.flatten_tree(trees, "tree_id", "raw")).join(owner, "tree_id")
+    nodes = cut(nodes)
+    first = nodes.groupBy("doc").agg(F.min("tree_id").alias("tree_id"))
+    works = cut(table(spark, sf, "corpus").where("doc IS NOT NULL"))
+    made, report, _ = chunk_works(nodes.join(first, ["doc", "tree_id"]).drop("tree_id"), page_lines(pages(spark, sf, "text")), works, HashingEmbedder())
+    return made, report
+
+
+def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _chunked(spark, sf)[0]
+
+
+def chunk_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _chunked(spark, sf)[1]
+
+
 SECTION_COLUMNS = ("doc", "author", "path", "path_ids", "start_page", "end_page", "section_summary")
 
 
@@ -185,20 +205,23 @@ def cache_resume(spark: SparkSession, sf: str) -> DataFrame:
     return not_cached(chunks(spark, sf).select("chunk_id"), done, ["chunk_id"])
 
 
-ALL = (sentence_split, sentence_counts, sentence_windows, consecutive_distance, distance_threshold, semantic_cut, glue_small, chunk_ids, chunk_parts, chunk_size_report, find_titles, section_rows, graph_edges, section_parents, graph_next_edges, next_three_hops, graph_breadcrumb, graph_toc, graph_tree_chunks, graph_label_counts, key_uniqueness, keyword_author_counts, corpus_join, works_without_chunks, cache_resume)
+ALL = (sentence_split, sentence_counts, sentence_windows, consecutive_distance, distance_threshold, semantic_cut, glue_small, chunk_ids, chunk_parts, chunk_size_report, find_titles, chunk_rows, chunk_report, section_rows, graph_edges, section_parents, graph_next_edges, next_three_hops, graph_breadcrumb, graph_toc, graph_tree_chunks, graph_label_counts, key_uniqueness, keyword_author_counts, corpus_join, works_without_chunks, cache_resume)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ALL}
 
 
-HYPHEN = r"regexp_replace({}, '([\p{{L}}\p{{N}}_])-\s*\n\s*([\p{{L}}\p{{N}}_])', '\1\2', 'g')"
+#: Sentences with their places; breaks are marked on both sides, as in ``functions.text.sentences``. A mark's closing signs are left out.
 SENTENCES = (
     "WITH "
     + chunks_sql("text")
-    + r""", raw AS (SELECT chunk_id, string_split(regexp_replace(coalesce(text, ''), '([.!?:;])["''”’)]*\s+(["''“‘(]?[A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM c),
-cl AS (SELECT chunk_id, list_filter(list_transform(parts, lambda t: trim(regexp_replace(regexp_replace(t, '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g'), '\s+', ' ', 'g'))), lambda t: t <> '') AS parts FROM raw),
-s AS (SELECT chunk_id, (unnest(range(len(parts)::BIGINT)))::INT AS sent_no, unnest(parts) AS sentence FROM cl)
+    + rf""", raw AS (SELECT chunk_id, string_split(regexp_replace(translate(coalesce(text, ''), chr(1) || chr(2), '  '), '([.!?;:])(["''”’)]*{SPACE}+)(["''“‘(]?[A-Z0-9])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(1)) AS parts FROM c),
+p AS (SELECT chunk_id, (unnest(range(len(parts)::BIGINT)))::INT AS n, unnest(parts) AS part FROM raw),
+g AS (SELECT chunk_id, n, CASE WHEN contains(part, chr(2)) THEN strpos(part, chr(2)) - 1 ELSE 0 END AS gap, regexp_replace(part, '^[^' || chr(2) || ']*' || chr(2), '') AS body FROM p),
+o AS (SELECT *, (coalesce(sum(gap + length(body)) OVER (PARTITION BY chunk_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + gap)::INT AS start FROM g),
+cl AS (SELECT chunk_id, n, {one_line_sql("body")} AS sentence, start, (start + length(body))::INT AS "end" FROM o),
+s AS (SELECT chunk_id, (row_number() OVER (PARTITION BY chunk_id ORDER BY n) - 1)::INT AS sent_no, sentence, start, "end" FROM cl WHERE sentence <> '')
 """
 )
 VECTORS = (
@@ -232,7 +255,7 @@ def oracle_sql() -> dict[str, str]:
         "sentence_windows": SENTENCES + "SELECT chunk_id, sent_no, concat_ws(' ', lag(sentence) OVER w, sentence, lead(sentence) OVER w) AS window FROM s WINDOW w AS (PARTITION BY chunk_id ORDER BY sent_no)",
         "consecutive_distance": VECTORS + "SELECT doc, chunk_id, round(dist, 6) AS dist FROM d WHERE dist IS NOT NULL",
         "distance_threshold": VECTORS + "SELECT round(quantile_cont(dist, 0.95), 6) AS threshold FROM d WHERE dist IS NOT NULL",
-        "chunk_ids": "WITH " + chunks_sql("doc", "author", "start_page") + ", n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY coalesce(start_page, 0), chunk_id) - 1 AS o FROM c WHERE doc IS NOT NULL) SELECT chunk_id, o::INT AS ordinal, concat_ws('-', lower(author), lpad(o::VARCHAR, 4, '0')) AS new_id FROM n",
+        "chunk_ids": "WITH " + chunks_sql("doc", "author", "start_page") + ", n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY coalesce(start_page, 0), chunk_id) - 1 AS o FROM c WHERE doc IS NOT NULL) SELECT chunk_id, o::INT AS ordinal, concat_ws('-', lower(author), lpad(o::VARCHAR, greatest(4, length(o::VARCHAR))::INT, '0')) AS new_id FROM n",
         "chunk_parts": "WITH " + chunks_sql("doc", "section_id") + " SELECT chunk_id, (row_number() OVER (PARTITION BY doc, section_id ORDER BY chunk_id))::INT AS part_no, count(*) OVER (PARTITION BY doc, section_id) AS part_count FROM c WHERE doc IS NOT NULL",
         "chunk_size_report": "WITH " + chunks_sql("doc", "text") + r", w AS (SELECT doc, len(regexp_extract_all(coalesce(text, ''), '[^\s]+'))::INT AS w FROM c) SELECT doc, count(*) AS chunks, min(w) AS min_words, trunc(median(w))::INT AS median_words, max(w) AS max_words FROM w GROUP BY doc",
         "section_rows": SECTIONS + "SELECT * FROM sec",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkstone.functions.text import letter_tokens, one_line, word_count
 from inkstone.operators import lines as L
 from inkstone.operators import quality as Q
-from inkstone.plans.base import pages, pages_sql
+from inkstone.plans.base import one_line_sql, pages, pages_sql
 from inkstone.session import read_table as table
 
 
@@ -21,7 +21,7 @@ def _size() -> Column:
 
 def page_quality(spark: SparkSession, sf: str) -> DataFrame:
     quality = Q.text_quality(pages(spark, sf, "text"), table(spark, sf, "lexicon"), ["doc", "page"])
-    return quality.select("doc", "page", F.round("quality", 6).alias("quality"), "n_words")
+    return quality.select("doc", "page", F.round("quality", 6).alias("quality"), "n_words", "dict_lang")
 
 
 def page_route(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,9 +92,10 @@ def offset_to_page(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_to_offset(spark: SparkSession, sf: str) -> DataFrame:
+    """Where every page of a work begins, numbers that are missing in it and one past its end included."""
     starts = L.page_offsets(pages(spark, sf, "text"))
-    kept = starts.where("page % 3 <> 1")
-    return L.page_to_offset(starts.select("doc", F.col("page")), kept)
+    bounds = starts.groupBy("doc").agg(F.min("page").alias("least"), F.max("page").alias("most"))
+    return L.page_to_offset(bounds.select("doc", F.explode(F.sequence("least", F.col("most") + 1)).alias("page")), starts)
 
 
 def pages_interval_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,9 +141,11 @@ OFFSETS = "WITH " + pages_sql("text") + """, o AS (SELECT doc, page, length(coal
 def oracle_sql() -> dict[str, str]:
     return {
         "page_quality": "WITH " + pages_sql("text") + rf""", t AS (SELECT doc, page, unnest({TOKENS}) AS token FROM p),
-            k AS (SELECT DISTINCT lower(word) AS token FROM lexicon WHERE word IS NOT NULL),
-            n AS (SELECT doc, page, count(*) AS n_words, count(k.token) AS n_known FROM t LEFT JOIN k USING (token) GROUP BY doc, page)
-            SELECT p.doc, p.page, round(coalesce(n_known / n_words, 0.0), 6) AS quality, coalesce(n_words, 0) AS n_words FROM p LEFT JOIN n USING (doc, page)""",
+            k AS (SELECT DISTINCT lower(trim(lang)) AS lang, lower(word) AS token FROM lexicon WHERE word IS NOT NULL AND lang IS NOT NULL),
+            w AS (SELECT doc, page, count(*) AS n_words FROM t GROUP BY ALL),
+            n AS (SELECT doc, page, lang, count(*) AS n FROM t JOIN k USING (token) GROUP BY ALL),
+            b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY doc, page ORDER BY n DESC, lang) = 1)
+            SELECT p.doc, p.page, round(coalesce(n / n_words, 0.0), 6) AS quality, coalesce(n_words, 0) AS n_words, lang AS dict_lang FROM p LEFT JOIN w USING (doc, page) LEFT JOIN b USING (doc, page)""",
         "page_route": "WITH " + pages_sql("words_before", "quality_before", "image_coverage") + f" SELECT doc, page, r AS new_route, why AS new_reason FROM (SELECT doc, page, {ROUTE} FROM p)",
         "route_ocr_override": "WITH "
         + pages_sql("words_before", "quality_before", "image_coverage", "ocr_quality")
@@ -151,13 +154,13 @@ def oracle_sql() -> dict[str, str]:
         "page_report": "WITH "
         + pages_sql("route", "reason", "quality", "words")
         + """ SELECT doc, count(*) AS pages, count_if(route = 'native')::BIGINT AS native_pages, count_if(route = 'ocr')::BIGINT AS ocr_pages,
-            round(coalesce(avg(CASE WHEN words >= 20 THEN quality END), 0.0), 3) AS mean_quality,
+            coalesce(floor((2 * sum(round(quality * 1e6)::BIGINT) FILTER (words >= 20) + 1000 * count(quality) FILTER (words >= 20)) / nullif(2000 * count(quality) FILTER (words >= 20), 0)) / 1000, 0.0) AS mean_quality,
             coalesce(string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (reason = 'ocr_not_better'), '') AS kept_original,
             coalesce(string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (words >= 20 AND quality < 0.85), '') AS still_low_quality FROM p GROUP BY doc""",
         "page_reasons": "WITH " + pages_sql("reason") + " SELECT doc, reason, count(*) AS n FROM p GROUP BY ALL",
         "ocr_confidence": "WITH " + pages_sql("ocr_confidence", "image_coverage") + " SELECT doc, round(coalesce(avg(ocr_confidence), 0.0), 6) AS mean_confidence, max(image_coverage) AS most_coverage FROM p GROUP BY doc",
         "token_counts": "WITH " + pages_sql("text") + rf" SELECT doc, page, len({TOKENS})::INT AS tokens, len(regexp_extract_all(coalesce(text, ''), '[^\s]+'))::INT AS n_words FROM p",
-        "clean_text": "WITH " + pages_sql("text") + rf" SELECT doc, page, trim(regexp_replace({HYPHEN.format('text')}, '\s+', ' ', 'g')) AS cleaned FROM p",
+        "clean_text": "WITH " + pages_sql("text") + " SELECT doc, page, " + one_line_sql("text") + " AS cleaned FROM p",
         "body_font_mode": LINES + "SELECT doc, body_size FROM body",
         "running_heads": LINES + "SELECT doc, head, pages_with FROM heads WHERE pages_with > n_pages * 0.2",
         "body_lines": LINES + "SELECT doc, page, line_no, text FROM caused WHERE cause IS NULL",
@@ -165,10 +168,10 @@ def oracle_sql() -> dict[str, str]:
         "page_offsets": OFFSETS + "SELECT * FROM o",
         "offset_to_page": OFFSETS + """, asked AS (SELECT doc, unnest(range(0, max(start_off + length) + 1, 500)) AS off FROM o GROUP BY doc)
             SELECT doc, off, max(page) AS page FROM asked JOIN o USING (doc) WHERE start_off <= off GROUP BY doc, off""",
-        "page_to_offset": OFFSETS + """, kept AS (SELECT * FROM o WHERE page % 3 <> 1), last AS (SELECT doc, max(start_off) AS end_off FROM kept GROUP BY doc)
-            SELECT o.doc, o.page, coalesce(min(kept.start_off), any_value(end_off)) AS off FROM o LEFT JOIN kept ON kept.doc = o.doc AND kept.page >= o.page LEFT JOIN last ON last.doc = o.doc GROUP BY o.doc, o.page""",
+        "page_to_offset": OFFSETS + """, asked AS (SELECT doc, unnest(range(min(page), max(page) + 2))::INT AS page FROM o GROUP BY doc), last AS (SELECT doc, max(start_off) AS end_off FROM o GROUP BY doc)
+            SELECT a.doc, a.page, coalesce(o.start_off, end_off) AS off FROM asked a ASOF LEFT JOIN o ON o.doc = a.doc AND o.page >= a.page LEFT JOIN last ON last.doc = a.doc""",
         "pages_interval_text": "WITH "
         + pages_sql("text")
         + """ SELECT a.doc, a.page AS first_page, a.page + 1 AS last_page,
-            substring(coalesce(a.text, '') || chr(10) || coalesce(b.text, ''), 1, 400) AS text FROM p a LEFT JOIN p b ON b.doc = a.doc AND b.page = a.page + 1""",
+            substring(coalesce(a.text, '') || chr(10) || coalesce(b.text, ''), 1, 12000) AS text FROM p a LEFT JOIN p b ON b.doc = a.doc AND b.page = a.page + 1""",
     }
