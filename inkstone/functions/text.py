@@ -55,9 +55,14 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def compatible(text: Column) -> Column:
+    """Text in compatibility normal form (NFKC), which has no built-in function; ASCII texts stay as they are."""
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(text))
+
+
 def squash_compatible(text: Column) -> Column:
-    """``squash`` after compatibility normalisation; ASCII texts do not leave the JVM's hands unchanged."""
-    return squash(F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(text)))
+    """``squash`` after compatibility normalisation."""
+    return squash(compatible(text))
 
 
 def sentences(text: Column, base: Column | None = None, longest: int = 120) -> Column:

@@ -13,7 +13,7 @@ SHORTEST_PIECE = 20
 
 
 def evidence_pieces(evidence: Column) -> Column:
-    """Pieces between omissions, squashed, without those too short to say anything."""
+    """Pieces between omissions, squashed, without those too short to say anything; ``evidence`` is in compatibility form (``functions.text.compatible``)."""
     pieces = F.transform(F.split(F.coalesce(evidence, F.lit("")), r"\.\.\.|…"), squash)
     return F.filter(pieces, lambda p: F.length(p) >= SHORTEST_PIECE)
 
@@ -46,11 +46,26 @@ def score_answers(claims: DataFrame, key: str = "id") -> DataFrame:
     )
 
 
-def evaluation_report(scored: DataFrame) -> DataFrame:
-    """One row: answers, their share that is grounded and that is contradicted in per cent, and mean support."""
+def evaluation_report(scored: DataFrame, claims: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
+    """One row: answers, in per cent how many are grounded, contradicted and need both authors, mean support, and the final set's size.
+
+    With ``claims`` (``verdict, judged, found``) also the claims by verdict and those the judge called supported without
+    evidence; with ``failed`` how many answers could not be judged. Mean support is summed in thousandths.
+    """
     n = F.count(F.lit(1))
-    share = lambda c: F.round(F.coalesce(100 * F.count_if(c) / F.nullif(n, F.lit(0)), F.lit(0.0)), 1)
-    return scored.agg(n.alias("answers"), share(F.col("grounded")).alias("grounded_pct"), share(F.col("contradicted")).alias("contradicted_pct"), F.round(F.coalesce(F.avg("support"), F.lit(0.0)), 3).alias("mean_support"), F.sum("n_claims").alias("claims"))
+    share = lambda c: F.floor(F.coalesce((2000 * F.count_if(c) + n) / F.nullif(2 * n, F.lit(0)), F.lit(0.0))) / 10
+    support = F.sum(F.round(F.col("support") * 1000).cast("bigint"))
+    final = F.col("grounded") & F.col("needs_both")
+    row = scored.agg(n.alias("answers"), share(F.col("grounded")).alias("grounded_pct"), share(F.col("contradicted")).alias("contradicted_pct"), share(F.col("needs_both")).alias("needs_both_pct"), (F.floor(F.coalesce((2 * support + n) / F.nullif(2 * n, F.lit(0)), F.lit(0.0))) / 1000).alias("mean_support"), F.count_if(final).alias("final_questions"))
+    if claims is not None:
+        counts = claims.where(F.col("verdict").isin(*VERDICTS)).agg(F.count(F.lit(1)).alias("claims"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS], F.count_if((F.col("judged") == "supported") & ~F.col("found")).alias("yes_without_evidence"))
+        row = beside(row, counts)
+    return row if failed is None else beside(row, failed.agg(F.count(F.lit(1)).alias("judge_failed")))
+
+
+def beside(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two tables of one row each as one row."""
+    return one.withColumn("_k", F.lit(0)).join(other.withColumn("_k", F.lit(0)), "_k").drop("_k")
 
 
 def verdicts_by_author(claims: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +50,26 @@ def text_quality(pages: DataFrame, dictionary: DataFrame, keys: list[str], text:
     return scored.select(*keys, share.alias("quality"), "n_words", F.when(F.col("_b.n") < 0, F.col("_b.lang")).alias("dict_lang"))
 
 
+def read_again(pages: DataFrame, ocr: Callable) -> DataFrame:
+    """``doc, page, ocr_text, ocr_confidence``: pages read by an OCR provider; the confidence is the mean over lines, 0 without any.
+
+    ``ocr`` is a picklable factory of a function from ``(doc, page)`` to lines ``[(text, confidence)]``, called once a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = None
+        for batch in batches:
+            texts, sure = [], []
+            for doc, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                read = read or ocr()
+                lines = read(doc, page)
+                texts.append("\n".join(t for t, _ in lines))
+                sure.append(sum(c for _, c in lines) / len(lines) if lines else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(sure, pa.float64())], names=["doc", "page", "ocr_text", "ocr_confidence"])
+
+    return pages.select("doc", "page").mapInArrow(run, "doc string, page int, ocr_text string, ocr_confidence double")
+
+
 def image_coverage(boxes: Column, page_area: Column) -> Column:
     """The largest image's share of the page, at most 1; ``boxes`` is array<struct<width,height>>; no image gives 0."""
     shares = F.transform(boxes, lambda b: b["width"] * b["height"] / page_area)

@@ -13,15 +13,16 @@ from inkstone.functions.vector import centroid, dot
 
 # fixed values: passages an author gives, words of a passage, pairs of a community, attempts of a call, the question types
 PER_AUTHOR, PASSAGE_WORDS, MOST_PAIRS, ATTEMPTS = 2, 700, 3, 2
-TYPES = ("contrast", "objection", "shared_ground", "other")
+TYPES = ("comparison", "agreement", "synthesis")
 
 PROMPT = """You are given passages by two authors, %s and %s.
 
 %s
 
-Write one exam question that can only be answered with the passages of both authors. Do not mention the
-passages in the question. Reply with JSON: {"topic": "...", "questions": [{"question": "...", "answer": "...",
-"type": "contrast | objection | shared_ground | other", "sources": ["P1", "P2"]}]}. Cite passages in the answer as [P1]."""
+Write one exam question that can only be answered with the passages of both authors, and its answer. Name the authors;
+do not mention the passages in the question. Use nothing but the passages, and never give one author's thought to the
+other. Cite passages in the answer as [P1]. Reply with JSON only:
+{"topic": "...", "question": "...", "answer": "...", "type": "%s", "sources": ["P1", "P3"]}"""
 
 
 def central_passages(members: DataFrame, per_author: int = PER_AUTHOR) -> DataFrame:
@@ -77,17 +78,18 @@ def render_passage(number: Column, author: Column, title: Column, section: Colum
     return F.concat(head, F.lit("\n"), shorten(text))
 
 
-def prompts(passages: DataFrame, keys: list[str]) -> DataFrame:
+def prompts(passages: DataFrame, keys: list[str], types: tuple[str, ...] = TYPES) -> DataFrame:
     """``keys, prompt`` from ``keys, author, position, rendered``: the passages of a call in order under the instructions."""
     ordered = F.array_sort(F.collect_list(F.struct("position", "rendered")))
     grouped = passages.groupBy(*keys).agg(F.min("author").alias("a"), F.max("author").alias("b"), F.array_join(F.transform(ordered, lambda p: p["rendered"]), "\n\n").alias("body"))
-    return grouped.select(*keys, F.format_string(PROMPT, "a", "b", "body").alias("prompt"))
+    return grouped.select(*keys, F.format_string(PROMPT, "a", "b", "body", F.lit(" | ".join(types))).alias("prompt"))
 
 
-def ask(df: DataFrame, keys: list[str], prompt: str, provider: Callable, attempts: int = ATTEMPTS) -> DataFrame:
-    """``keys, raw, error``: a model's answers. ``provider`` is a picklable factory of a function from a prompt to text.
+def ask(df: DataFrame, keys: list[str], prompt: str, provider: Callable, attempts: int = ATTEMPTS, usable: Callable[[str | None], bool] | None = None) -> DataFrame:
+    """``keys, raw, error, attempts``: a model's answers. ``provider`` is a picklable factory of a function from a prompt to text.
 
-    A failing call is tried again; the last error is kept, other rows go on.
+    A call that fails, or whose answer ``usable`` does not take, is made again; the last answer and the last error are
+    kept, other rows go on. A call that never gave an answer has a null ``raw``.
     """
     source = df.select(*keys, prompt)
     fields = ", ".join(f"{k} {dict(source.dtypes)[k]}" for k in keys)
@@ -95,20 +97,29 @@ def ask(df: DataFrame, keys: list[str], prompt: str, provider: Callable, attempt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = provider()
         for batch in batches:
-            raws, errors = [], []
+            raws, errors, tries = [], [], []
             for p in batch.column(len(keys)).to_pylist():
-                raw, error = None, None
-                for _ in range(attempts):
+                raw, error, n = None, None, 0
+                while n < attempts:
+                    n += 1
                     try:
                         raw, error = model(p), None
-                        break
                     except Exception as e:  # noqa: BLE001 - a provider may fail in any way; the row says how
                         error = f"{type(e).__name__}: {e}"
+                        continue
+                    if usable is None or usable(raw):
+                        break
                 raws.append(raw)
                 errors.append(error)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(raws, pa.string()), pa.array(errors, pa.string())], names=[*keys, "raw", "error"])
+                tries.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(raws, pa.string()), pa.array(errors, pa.string()), pa.array(tries, pa.int32())], names=[*keys, "raw", "error", "attempts"])
+
+    return source.mapInArrow(run, f"{fields}, raw string, error string, attempts int")
 
-    return source.mapInArrow(run, f"{fields}, raw string, error string")
+
+def call_report(calls: DataFrame) -> DataFrame:
+    """One row: calls, those without an answer, repeated ones, and how many different errors there were."""
+    return calls.agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("raw").isNull()).alias("failed"), F.count_if(F.col("attempts") > 1).alias("repeated"), F.count_distinct("error").alias("errors"))
 
 
 def labels(sources: Column, n_passages: Column) -> Column:
@@ -129,8 +140,8 @@ def question_defect(question: Column, answer: Column, sources: Column, cited_aut
     )
 
 
-def known_type(kind: Column) -> Column:
-    return F.when(kind.isin(*TYPES), kind).otherwise("other")
+def known_type(kind: Column, types: tuple[str, ...] = TYPES) -> Column:
+    return F.when(kind.isin(*types), kind).otherwise("other")
 
 
 def cite(answer: Column, citations: Column) -> Column:
@@ -152,9 +163,17 @@ def first_topics(calls: DataFrame) -> DataFrame:
     return calls.where("parsed").groupBy("community").agg(F.min_by(F.coalesce("topic", F.lit("")), "call_no").alias("topic"))
 
 
+def markdown_entry(key: Column, topic: Column, kind: Column, question: Column, answer: Column, sources: Column) -> Column:
+    """One question as Markdown: what it is, the question, its answer and its sources (``array<struct<author, section, pages>>``)."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    source = lambda s: F.concat(text(s["author"]), F.lit(", "), text(s["section"]), F.lit(" (pp. "), text(F.get(s["pages"], F.lit(0))), F.lit("-"), text(F.get(s["pages"], F.lit(1))), F.lit(")"))
+    listed = F.array_join(F.transform(sources, source), "; ")
+    head = F.concat_ws(" · ", key, text(topic), text(kind))
+    return F.concat(F.lit("## "), head, F.lit("\n\n**Q:** "), F.trim(question), F.lit("\n\n**A:** "), F.trim(answer), F.lit("\n\n*Sources:* "), F.coalesce(listed, F.lit("")))
+
+
 def markdown(df: DataFrame, group: str, text: Column, order: list[str]) -> DataFrame:
-    """``group, markdown``: entries under one heading each, in order."""
+    """``group, markdown``: the entries of each group in order, joined by blank lines."""
     entries = df.select(group, F.struct(*order).alias("_o"), text.alias("_t"))
     made = entries.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_o", "_t"))).alias("_all"))
-    body = F.array_join(F.transform("_all", lambda x: x["_t"]), "\n\n")
-    return made.select(group, F.concat(F.lit("## "), F.col(group).cast("string"), F.lit("\n\n"), body).alias("markdown"))
+    return made.select(group, F.array_join(F.transform("_all", lambda x: x["_t"]), "\n\n").alias("markdown"))

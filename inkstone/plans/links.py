@@ -16,6 +16,8 @@ from inkstone.session import cut
 from inkstone.session import read_table as table
 
 MODEL = "lumen-embed-1"
+#: Score of the links whose components stand for communities where SQL has to follow.
+STRONG = 0.5
 PIVOT = ("Braquoth", "Haldwirne", "Odrmoth", "Ystmol")
 
 
@@ -82,7 +84,7 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
 def _component_communities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Strong links only, so that components are of many sizes."""
     links, nodes = _links(spark, sf)
-    strong = links.where("score >= 0.5")
+    strong = links.where(F.col("score") >= STRONG)
     return cut(M.components(nodes, strong).select("id", F.col("component").alias("community"))), strong, nodes
 
 
@@ -139,16 +141,22 @@ def community_links(spark: SparkSession, sf: str) -> DataFrame:
     return M.with_inner_links(assigned, strong).select("community", "id", "n_links", F.round("strongest", 4).alias("strongest"))
 
 
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    """``community, author, id, unit``: linked chunks of the communities of strong links."""
+    v = _vectors(spark, sf)
+    nodes = _nodes(spark, sf, v)
+    strong = cut(S.cross_links(v)).where(F.col("score") >= STRONG)
+    assigned = cut(M.components(nodes, strong).select("id", F.col("component").alias("community")))
+    return assigned.join(nodes, "id").join(v.select("id", "unit"), "id").select("community", "author", "id", "unit")
+
+
 def community_centroid(spark: SparkSession, sf: str) -> DataFrame:
-    """Means of the small vectors by label."""
-    e = table(spark, sf, "embeddings")
-    c = centroid(e, ["label"], "embedding")
-    return c.select("label", F.posexplode("centroid").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("x"))
+    c = centroid(_members(spark, sf), ["community"], "unit")
+    return c.select("community", F.posexplode("centroid").alias("pos", "x")).select("community", "pos", (F.round("x", 6) + 0.0).alias("x"))
 
 
 def central_passages(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select(F.col("label").alias("community"), (F.col("vec_id") % 4).cast("string").alias("author"), F.col("vec_id").alias("id"), F.col("embedding").alias("unit"))
-    return Q.central_passages(e).withColumn("score", F.round("score", 6))
+    return Q.central_passages(_members(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 def _author_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,6 +201,10 @@ comp AS (SELECT id, min(r) AS community FROM reach GROUP BY id)
 """
 COMMUNITY = PAIRS + REACH.format(limit=0.5) + """, sized AS (SELECT community, count(*) AS size, count(DISTINCT author) AS n_authors FROM comp JOIN nodes USING (id) GROUP BY community)
 """
+MEMBERS = COMMUNITY.rstrip() + """,
+k AS MATERIALIZED (SELECT community, author, id, unit FROM comp JOIN nodes USING (id) JOIN u USING (id)),
+m AS (SELECT community, pos, avg(x) AS x FROM (SELECT community, unnest(range(len(unit)::BIGINT)) AS pos, unnest(unit) AS x FROM k) GROUP BY ALL)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -219,10 +231,17 @@ def oracle_sql() -> dict[str, str]:
         "community_pivot": COMMUNITY + "SELECT community, " + ", ".join(f"count(*) FILTER (author = '{a}') AS {a}" for a in PIVOT) + ", count(*) FILTER (author NOT IN (" + ", ".join(f"'{a}'" for a in PIVOT) + ")) AS others FROM comp JOIN nodes USING (id) GROUP BY community",
         "community_links": COMMUNITY + """, e AS (SELECT a AS id, score FROM strong UNION ALL SELECT b, score FROM strong)
             SELECT community, id, count(score) AS n_links, round(max(score), 4) AS strongest FROM comp LEFT JOIN e USING (id) GROUP BY ALL""",
-        "community_centroid": "SELECT label, pos::INT AS pos, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(len(embedding)::BIGINT)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, pos",
-        "central_passages": """WITH e AS (SELECT label AS community, (vec_id % 4)::VARCHAR AS author, vec_id AS id, embedding::DOUBLE[] AS u FROM embeddings),
-            m AS (SELECT community, list(x ORDER BY pos) AS c FROM (SELECT community, pos, avg(x) AS x FROM (SELECT community, unnest(range(len(u)::BIGINT)) AS pos, unnest(u) AS x FROM e) GROUP BY ALL) GROUP BY community)
-            SELECT community, author, id, round(score, 6) AS score, rank FROM (SELECT community, author, id, list_dot_product(u, c) AS score, (row_number() OVER (PARTITION BY community, author ORDER BY round(list_dot_product(u, c), 9) DESC, id))::INT AS rank FROM e JOIN m USING (community)) WHERE rank <= 2""",
+        "community_centroid": MEMBERS + "SELECT community, pos::INT AS pos, round(x, 6) + 0.0 AS x FROM m",
+        "central_passages": MEMBERS + """, middle AS (SELECT community, list(x ORDER BY pos) AS c FROM m GROUP BY community)
+            SELECT community, author, id, round(score, 6) AS score, rank FROM (SELECT community, author, id, list_dot_product(unit, c) AS score, (row_number() OVER (PARTITION BY community, author ORDER BY round(list_dot_product(unit, c), 9) DESC, id))::INT AS rank FROM k JOIN middle USING (community)) WHERE rank <= 2""",
+        "author_pairs_chosen": COMMUNITY.rstrip() + """,
+            n AS (SELECT community, author, count(*) AS n FROM comp JOIN nodes USING (id) GROUP BY ALL), pr AS MATERIALIZED (SELECT x.community, x.author AS a, y.author AS b, x.n + y.n AS n FROM n x JOIN n y ON x.community = y.community AND x.author < y.author),
+            p1 AS MATERIALIZED (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY community ORDER BY n DESC, a, b) = 1),
+            r2 AS (SELECT pr.*, (pr.a IN (p1.a, p1.b))::INT + (pr.b IN (p1.a, p1.b))::INT AS used FROM pr JOIN p1 USING (community) WHERE NOT (pr.a = p1.a AND pr.b = p1.b)),
+            p2 AS MATERIALIZED (SELECT * FROM r2 QUALIFY row_number() OVER (PARTITION BY community ORDER BY used, n DESC, a, b) = 1),
+            r3 AS (SELECT pr.*, (pr.a IN (p1.a, p1.b, p2.a, p2.b))::INT + (pr.b IN (p1.a, p1.b, p2.a, p2.b))::INT AS used FROM pr JOIN p1 USING (community) JOIN p2 USING (community) WHERE NOT (pr.a = p1.a AND pr.b = p1.b) AND NOT (pr.a = p2.a AND pr.b = p2.b)),
+            p3 AS (SELECT * FROM r3 QUALIFY row_number() OVER (PARTITION BY community ORDER BY used, n DESC, a, b) = 1)
+            SELECT community, 1 AS position, a, b FROM p1 UNION ALL SELECT community, 2, a, b FROM p2 UNION ALL SELECT community, 3, a, b FROM p3""",
         "author_pairs": COMMUNITY + """, n AS (SELECT community, author, count(*) AS n FROM comp JOIN nodes USING (id) GROUP BY ALL)
             SELECT x.community, x.author AS a, y.author AS b FROM n x JOIN n y ON x.community = y.community AND x.author < y.author QUALIFY row_number() OVER (PARTITION BY x.community ORDER BY x.n + y.n DESC, x.author, y.author) = 1""",
     }

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.functions.text import squash
+from inkstone.functions.text import compatible, squash
 from inkstone.operators import evaluation as E
 from inkstone.operators import questions as Q
 from inkstone.plans.base import chunks, chunks_sql, questions, questions_sql
-from inkstone.providers import TemplateModel
+from inkstone.functions.salvage import HasKey
+from inkstone.providers import QuotingModel
 
+#: Types of questions that the table has.
+TYPES = ("contrast", "objection", "shared_ground", "other")
 COLUMNS = ("community", "topic", "question", "answer", "type", "authors", "sources")
 
 
@@ -47,7 +50,7 @@ def question_topics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def question_types(spark: SparkSession, sf: str) -> DataFrame:
-    return _questions(spark, sf).groupBy(Q.known_type(F.col("type")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return _questions(spark, sf).groupBy(Q.known_type(F.col("type"), TYPES).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def questions_per_pair(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +66,8 @@ def cite_rewrite(spark: SparkSession, sf: str) -> DataFrame:
 
 def markdown_export(spark: SparkSession, sf: str) -> DataFrame:
     q = _questions(spark, sf).where("question IS NOT NULL AND answer IS NOT NULL AND community IS NOT NULL")
-    return Q.markdown(q, "community", F.concat(F.lit("**"), F.trim("question"), F.lit("**\n\n"), F.trim("answer")), ["id"])
+    entry = Q.markdown_entry(F.col("id"), F.col("topic"), Q.known_type(F.col("type"), TYPES), F.col("question"), F.col("answer"), F.col("sources"))
+    return Q.markdown(q, "community", entry, ["id"])
 
 
 def _passages(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,12 +86,12 @@ def render_passages(spark: SparkSession, sf: str) -> DataFrame:
 def prompt_build(spark: SparkSession, sf: str) -> DataFrame:
     p = _passages(spark, sf)
     made = Q.render_passage(F.col("position") + 1, F.coalesce("author", F.lit("")), F.col("doc_title"), F.col("section"), F.coalesce("start_page", F.lit(0)), F.coalesce("end_page", F.lit(0)), F.col("text"))
-    return Q.prompts(p.select("id", "position", F.coalesce("author", F.lit("")).alias("author"), made.alias("rendered")), ["id"])
+    return Q.prompts(p.select("id", "position", F.coalesce("author", F.lit("")).alias("author"), made.alias("rendered")), ["id"], TYPES)
 
 
 def llm_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """Every prompt put to the offline model: the raw answer and the error of each call."""
-    return Q.ask(prompt_build(spark, sf), ["id"], "prompt", TemplateModel())
+    """Every prompt put to an offline model that quotes its first passage; calls whose answer is no question are repeated."""
+    return Q.ask(prompt_build(spark, sf), ["id"], "prompt", QuotingModel(), usable=HasKey(("question",)))
 
 
 def _claims(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +109,8 @@ def _claims(spark: SparkSession, sf: str) -> DataFrame:
 
 def _checked(spark: SparkSession, sf: str) -> DataFrame:
     c = _claims(spark, sf)
-    sources = c.groupBy("id").agg(F.collect_set(squash(F.coalesce("text", F.lit("")))).alias("sources"))
+    c = c.withColumn("evidence", compatible(F.col("evidence")))
+    sources = c.select("id", compatible(F.coalesce("text", F.lit(""))).alias("text")).groupBy("id").agg(F.collect_set(squash(F.col("text"))).alias("sources"))
     joined = c.join(sources, "id").withColumn("found", E.evidence_found(F.col("evidence"), F.col("sources")))
     return joined.select("id", "position", "author", "judged", "found", E.checked_verdict(F.col("judged"), F.col("found")).alias("verdict"))
 
@@ -123,7 +128,7 @@ def claim_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eval_report(spark: SparkSession, sf: str) -> DataFrame:
-    return E.evaluation_report(_scored(spark, sf))
+    return E.evaluation_report(_scored(spark, sf), _checked(spark, sf))
 
 
 def author_verdict_pivot(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,13 +195,28 @@ def oracle_sql() -> dict[str, str]:
         "question_topics": CHECK + r"SELECT community, arg_min(coalesce(topic, ''), try_cast(regexp_extract(id, 'q(\d+)$', 1) AS INT)) AS topic FROM r WHERE answer IS NOT NULL GROUP BY community",
         "question_types": CHECK + "SELECT CASE WHEN type IN ('contrast', 'objection', 'shared_ground', 'other') THEN type ELSE 'other' END AS kind, count(*) AS n FROM r GROUP BY 1",
         "questions_per_pair": CHECK + "SELECT array_to_string(list_sort(authors), ' - ') AS pair, count(*) AS n FROM r WHERE authors IS NOT NULL GROUP BY 1",
-        "markdown_export": CHECK + "SELECT community, '## ' || community || chr(10) || chr(10) || string_agg('**' || trim(question) || '**' || chr(10) || chr(10) || trim(answer), chr(10) || chr(10) ORDER BY id) AS markdown FROM r WHERE question IS NOT NULL AND answer IS NOT NULL AND community IS NOT NULL GROUP BY community",
+        "markdown_export": CHECK
+        + """SELECT community, string_agg('## ' || concat_ws(' · ', id, coalesce(topic, ''), CASE WHEN type IN ('contrast', 'objection', 'shared_ground') THEN type ELSE 'other' END) || chr(10) || chr(10) || '**Q:** ' || trim(question) || chr(10) || chr(10) || '**A:** ' || trim(answer) || chr(10) || chr(10) || '*Sources:* '
+            || coalesce(array_to_string(list_transform(sources, lambda s: coalesce(s.author, '') || ', ' || coalesce(s.section, '') || ' (pp. ' || coalesce(s.pages[1]::VARCHAR, '') || '-' || coalesce(s.pages[2]::VARCHAR, '') || ')'), '; '), ''), chr(10) || chr(10) ORDER BY id) AS markdown FROM r WHERE question IS NOT NULL AND answer IS NOT NULL AND community IS NOT NULL GROUP BY community""",
         "render_passages": PASSAGES + r""", w AS (SELECT *, regexp_extract_all(coalesce(text, ''), '[^\s]+') AS ws FROM p)
             SELECT id, position, '[P' || (position + 1) || '] ' || upper(coalesce(author, '')) || ' - ' || coalesce(doc_title, '') || ', ' || coalesce(section, '') || ' (pp. ' || coalesce(start_page, 0) || '-' || coalesce(end_page, 0) || ')' || chr(10) ||
             CASE WHEN len(ws) > 700 THEN array_to_string(ws[1:700], ' ') || ' [...]' ELSE array_to_string(ws, ' ') END AS rendered FROM w""",
+        "cite_rewrite": "WITH RECURSIVE " + questions_sql("answer", "sources")
+        + r""", c AS (SELECT id, answer || ' See [P1], P2 and [P19].' AS t, list_transform(coalesce(sources, []), lambda s: coalesce(s.author, '?') || ', p. ' || coalesce(s.pages[1]::VARCHAR, '?')) AS names FROM q WHERE answer IS NOT NULL),
+            f AS (SELECT id, t, names, len(names)::INT AS k FROM c UNION ALL SELECT id, regexp_replace(t, '\[P' || k || '\]|\bP' || k || '\b', '[' || names[k] || ']', 'g'), names, k - 1 FROM f WHERE k > 0)
+            SELECT id, regexp_replace(t, '\[P\d+\]|\bP\d+\b', '', 'g') AS cited FROM f WHERE k = 0""",
+        "prompt_build": PASSAGES
+        + r""", w AS (SELECT *, regexp_extract_all(coalesce(text, ''), '[^\s]+') AS ws FROM p),
+            m AS (SELECT id, position, coalesce(author, '') AS author, '[P' || (position + 1) || '] ' || upper(coalesce(author, '')) || ' - ' || coalesce(doc_title, '') || ', ' || coalesce(section, '') || ' (pp. ' || coalesce(start_page, 0) || '-' || coalesce(end_page, 0) || ')' || chr(10) ||
+                CASE WHEN len(ws) > 700 THEN array_to_string(ws[1:700], ' ') || ' [...]' ELSE array_to_string(ws, ' ') END AS rendered FROM w)
+            SELECT id, printf('""" + Q.PROMPT.replace("'", "''") + """', min(author), max(author), string_agg(rendered, chr(10) || chr(10) ORDER BY position), 'contrast | objection | shared_ground | other') AS prompt FROM m GROUP BY id""",
         "evidence_match": CLAIMS + "SELECT id, position, found, verdict FROM ck",
         "claim_scores": CLAIMS + "SELECT * FROM scored",
-        "eval_report": CLAIMS + "SELECT count(*) AS answers, round(100 * count(*) FILTER (grounded) / count(*), 1) AS grounded_pct, round(100 * count(*) FILTER (contradicted) / count(*), 1) AS contradicted_pct, round(avg(support), 3) AS mean_support, sum(n_claims)::BIGINT AS claims FROM scored",
+        "eval_report": CLAIMS
+        + """, ev AS (SELECT count(*) AS n, sum(round(support * 1000)::BIGINT) AS s, count(*) FILTER (grounded) AS g, count(*) FILTER (contradicted) AS c, count(*) FILTER (n_claims >= 2) AS b, count(*) FILTER (grounded AND n_claims >= 2) AS final FROM scored),
+            v AS (SELECT count(*) AS claims, count(*) FILTER (verdict = 'supported') AS supported, count(*) FILTER (verdict = 'not_supported') AS not_supported, count(*) FILTER (verdict = 'contradicted') AS contradicted, count(*) FILTER (judged = 'supported' AND NOT found) AS yes_without_evidence FROM ck WHERE verdict IN ('supported', 'not_supported', 'contradicted'))
+            SELECT n AS answers, floor((2000 * g + n) / (2 * n)) / 10 AS grounded_pct, floor((2000 * c + n) / (2 * n)) / 10 AS contradicted_pct, floor((2000 * b + n) / (2 * n)) / 10 AS needs_both_pct, floor((2 * s + n) / (2 * n)) / 1000 AS mean_support, final AS final_questions,
+                claims, supported, not_supported, contradicted, yes_without_evidence FROM ev, v""",
         "author_verdict_pivot": CLAIMS + "SELECT author, count(*) FILTER (verdict = 'supported') AS supported, count(*) FILTER (verdict = 'not_supported') AS not_supported, count(*) FILTER (verdict = 'contradicted') AS contradicted FROM ck WHERE author IS NOT NULL GROUP BY author",
         "judge_without_evidence": CLAIMS + "SELECT count(*) FILTER (judged = 'supported' AND NOT found) AS n FROM ck",
         "final_questions": CLAIMS + ", qq AS (SELECT id, first(question) AS question FROM questions WHERE id IS NOT NULL GROUP BY id) SELECT id, question FROM qq WHERE id IN (SELECT id FROM scored WHERE grounded AND n_claims >= 2)",

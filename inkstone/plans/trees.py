@@ -129,6 +129,31 @@ works AS (SELECT tree_id, corpus.* FROM (SELECT tree_id, min(doc) AS doc FROM tr
 leaf AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.tree_id = n.tree_id AND m.parent_path = n.node_path))
 """
 )
+
+
+def clean_sql(source: str, columns: str) -> str:
+    """CTEs that end in ``cleaned`` (``columns, raw, clean``): ``functions.salvage.clean_summary`` over ``raw`` of ``source``."""
+    bare = r"regexp_replace(regexp_replace(raw, '(?m)^[ \t]*```[a-zA-Z]*[ \t]*$|^\s*```[a-zA-Z]*\s|```', '', 'g'), '^\s+|\s+$', '', 'g')"
+    inside = r'(?:[^"\\]|\\.)*'
+    unescaped = r"""regexp_replace(replace(replace({}, '\n', ' '), '\"', '"'), '\\$', '')"""
+    listed = "array_to_string(list_transform({}, lambda p: rtrim(p, '.') || '.'), ' ')"
+    return f"""bare_s AS (SELECT {columns}, raw, {bare} AS t FROM {source}),
+        told AS (SELECT *, CASE WHEN json_valid(t) THEN CASE WHEN json_type(t, '$.summary') = 'VARCHAR' THEN t->>'$.summary' WHEN json_type(t, '$.points') = 'ARRAY' THEN {listed.format("from_json(t->'$.points', '[\"VARCHAR\"]')")} WHEN json_type(t) = 'ARRAY' THEN {listed.format("from_json(t::JSON, '[\"VARCHAR\"]')")} END END AS parsed,
+            regexp_extract(t, '(?s)"summary"\\s*:\\s*"({inside})', 1) AS begun, list_filter(list_transform(regexp_extract_all(t, '(?s)"({inside})"', 1), lambda x: {unescaped.format("x")}), lambda x: length(x) >= 30) AS strings FROM bare_s),
+        plain_s AS (SELECT *, regexp_replace(CASE WHEN regexp_matches(t, '^[\\[{{]') THEN coalesce(parsed, CASE WHEN begun <> '' THEN {unescaped.format("begun")} ELSE {listed.format("strings")} END) ELSE t END, '^\\s+|\\s+$', '', 'g') AS plain FROM told),
+        cleaned AS (SELECT {columns}, raw, CASE WHEN length(plain) >= 40 AND NOT regexp_matches(plain, '(?i)^(please provide|i need the)') THEN plain END AS clean FROM plain_s)"""
+
+
+#: Summaries in the shapes models return them, as ``_shaped`` makes them.
+SHAPED = (
+    NODES.rstrip()
+    + r""",
+given AS (SELECT tree_id, node_path, ((tree_id + string_split(node_path, '/')[-1]::INT) % 6) AS k, summary, json_object('summary', summary)::VARCHAR AS w FROM n WHERE summary IS NOT NULL),
+shaped AS (SELECT tree_id, node_path, CASE k WHEN 0 THEN summary WHEN 1 THEN '```json' || chr(10) || w || chr(10) || '```' WHEN 2 THEN json_object('points', [summary, 'A second point that says more'])::VARCHAR
+    WHEN 3 THEN substring(w, 1, 60) || '...' WHEN 4 THEN 'Please provide the text. ' || summary ELSE w || ',' END AS raw FROM given),
+"""
+    + clean_sql("shaped", "tree_id, node_path")
+)
 GONE = "NOT EXISTS (SELECT 1 FROM bad b WHERE b.tree_id = n.tree_id AND (n.node_path = b.node_path OR starts_with(n.node_path, b.node_path || '/')))"
 
 
@@ -155,10 +180,17 @@ def oracle_sql() -> dict[str, str]:
             kept AS (SELECT tree_id, node_path FROM n WHERE NOT EXISTS (SELECT 1 FROM alone a JOIN n m ON m.tree_id = a.tree_id AND m.node_path = a.parent_path
                 WHERE a.tree_id = n.tree_id AND a.parent_path = n.parent_path AND m.start_index IS NOT DISTINCT FROM n.start_index AND m.end_index IS NOT DISTINCT FROM n.end_index))
             SELECT a.tree_id, a.node_path, coalesce(arg_max(b.node_path, length(b.node_path)), '') AS parent FROM kept a LEFT JOIN kept b ON b.tree_id = a.tree_id AND starts_with(a.node_path, b.node_path || '/') GROUP BY ALL""",
-        "summary_redo": NODES + ", " + pages_sql("text") + r""", s AS (SELECT n.tree_id, node_path, t.doc, start_index AS f, end_index AS l FROM n JOIN (SELECT tree_id, min(doc) AS doc FROM trees WHERE tree_id IS NOT NULL AND doc IS NOT NULL GROUP BY tree_id) t USING (tree_id)
-            WHERE summary IS NULL AND start_index IS NOT NULL AND end_index >= start_index AND end_index - start_index < 5),
-            e AS (SELECT *, unnest(range(f, l + 1)) AS page FROM s), x AS (SELECT tree_id, node_path, substring(string_agg(coalesce(text, ''), chr(10) ORDER BY e.page), 1, 12000) AS text FROM e LEFT JOIN p ON p.doc = e.doc AND p.page = e.page GROUP BY tree_id, node_path),
-            w AS (SELECT tree_id, node_path, len(regexp_extract_all(text, '[^\s]+'))::INT AS words FROM x) SELECT * FROM w WHERE words >= 30""",
+        "summary_redo": NODES + ", " + pages_sql("text") + ", told_of AS (SELECT tree_id, node_path, start_index AS f, end_index AS l, summary AS raw FROM n WHERE start_index IS NOT NULL AND end_index >= start_index), " + clean_sql("told_of", "tree_id, node_path, f, l")
+        + r""", poor AS (SELECT c.*, t.doc FROM cleaned c JOIN (SELECT tree_id, min(doc) AS doc FROM trees WHERE tree_id IS NOT NULL AND doc IS NOT NULL GROUP BY tree_id) t USING (tree_id) WHERE clean IS NULL),
+            ends AS (SELECT doc, min(page) AS least, max(page) AS most FROM p GROUP BY doc),
+            s AS (SELECT tree_id, node_path, doc, greatest(f, least - 12000) AS f, least(l, most) AS l FROM poor JOIN ends USING (doc) WHERE least(l, most) >= greatest(f, least - 12000)),
+            e AS (SELECT doc, f, l, unnest(range(f, l + 1)) AS page FROM (SELECT DISTINCT doc, f, l FROM s)), x AS (SELECT e.doc, f, l, substring(string_agg(coalesce(text, ''), chr(10) ORDER BY e.page), 1, 12000) AS text FROM e LEFT JOIN p ON p.doc = e.doc AND p.page = e.page GROUP BY ALL),
+            w AS (SELECT doc, f, l, len(regexp_extract_all(text, '[^\s]+'))::INT AS words FROM x) SELECT tree_id, node_path, words FROM s JOIN w USING (doc, f, l) WHERE words >= 30""",
+        "json_salvage": SHAPED + " SELECT tree_id, node_path, clean AS summary FROM cleaned",
+        "summary_repair_counts": SHAPED + " SELECT CASE WHEN clean IS NULL THEN 'redo' WHEN clean = trim(raw) THEN 'ok' ELSE 'cleaned' END AS status, count(*) AS n FROM cleaned GROUP BY 1",
+        "llm_json_parse": """WITH r AS (SELECT tree_id, min(raw) AS raw FROM trees WHERE tree_id IS NOT NULL AND raw IS NOT NULL GROUP BY tree_id),
+            t AS (SELECT tree_id, regexp_extract(raw, '(?s)\\{.*\\}') AS t FROM r), j AS (SELECT tree_id, CASE WHEN json_valid(t) AND json_exists(t, '$.structure') THEN t::JSON END AS j FROM t)
+            SELECT tree_id, j IS NOT NULL AS usable, j->>'$.doc_name' AS doc_name FROM j""",
         "accept_flash": NODES + """, meta AS (SELECT tree_id, coalesce(j->>'$.toc_source', j->>'$.result.toc_source') AS toc_source FROM opened), ln AS (SELECT tree_id, count(*) AS leaves FROM leaf GROUP BY tree_id)
             SELECT tree_id, coalesce(toc_source NOT IN ('pages', 'unreadable'), false) AND coalesce(leaves, 0) >= 3 AS accepted FROM meta LEFT JOIN ln USING (tree_id)""",
     }

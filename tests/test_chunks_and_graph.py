@@ -27,32 +27,92 @@ def test_cuts_keep_both_sides_long_enough():
             assert all(sum(words[a:b]) >= 150 for a, b in parts)
 
 
-def chunk(name, chapter, words, parts=1):
-    return {"id": name, "chapter": chapter, "parts": parts, "words": words, "ids": [name]}
+def glued(*items):
+    """Ids by run and bearer of chunks given as ``(id, chapter, words[, parts])``."""
+    parts = [i[3] if len(i) > 3 else 1 for i in items]
+    return [([items[k][0] for k in range(r.first, r.last + 1)], items[r.bearer][0]) for r in C.runs([i[1] for i in items], [i[2] for i in items], parts)]
 
 
 def test_glue():
-    ids = lambda cs: [c["ids"] for c in C.glue(cs)]
-    assert ids([chunk("h", "1", 29), chunk("a", "2", 500)]) == [["h", "a"]]
-    assert ids([chunk("a", "1", 500), chunk("t", "1", 30), chunk("b", "2", 500)]) == [["a", "t"], ["b"]]
-    assert ids([chunk("a", "1", 500), chunk("t", "2", 30)]) == [["a", "t"]]
-    assert ids([chunk("t", "1", 10)]) == [["t"]]
-    assert ids([chunk("p", "1", 40, parts=2), chunk("b", "1", 500)]) == [["p"], ["b"]]
+    assert glued(("h", "1", 29), ("a", "2", 500)) == [(["h", "a"], "a")]
+    assert glued(("a", "1", 500), ("t", "1", 30), ("b", "2", 500)) == [(["a", "t"], "a"), (["b"], "b")]
+    assert glued(("a", "1", 500), ("t", "2", 30)) == [(["a", "t"], "a")]
+    assert glued(("t", "1", 10)) == [(["t"], "t")] and glued() == []
+    assert glued(("p", "1", 40, 2), ("b", "1", 500)) == [(["p"], "p"), (["b"], "b")]
+    assert glued(("x", "1", 50), ("b", "2", 500)) == [(["x"], "x"), (["b"], "b")]
+    assert glued(("a", "1", 60), ("b", "1", 60), ("c", "1", 60), ("d", "1", 10)) == [(["a", "b", "c", "d"], "c")]
     rng = random.Random(1)
-    many = [chunk(str(k), str(k // 5), rng.randint(1, 400)) for k in range(60)]
-    glued = C.glue(many)
-    assert [i for c in glued for i in c["ids"]] == [str(k) for k in range(60)]
-    assert sum(c["words"] for c in glued) == sum(c["words"] for c in many)
+    many = [(str(k), str(k // 5), rng.randint(1, 400)) for k in range(60)]
+    assert [i for ids, _ in glued(*many) for i in ids] == [str(k) for k in range(60)]
+    only = C.runs(["1", "1", "1"], [20, 20, 500], [1, 1, 1])
+    assert [(r.first, r.last, r.words, r.also) for r in only] == [(0, 2, 540, [1])]
+
+
+def find(title, text, lo=0):
+    places = [(kind, pos) for t, kind, pos, _ in C.TitleIndex([title]).places(text, len(text))]
+    by_kind = tuple(sorted(p for k, p in places if k == kind) for kind in (0, 1, 2))
+    at = C.anchors([lo], [by_kind], len(text))[0]
+    return at if any(by_kind) else None
 
 
 def test_titles():
-    find = lambda title, text, lo=0: C.anchor([(k, m.start()) for k, p in enumerate(C.title_patterns(title)) for m in p.finditer(text)], lo)
     assert find("Chapter 1", "see Chapter 10 and\nChapter 1 here") == 19
     assert find("Sec: A-B", "text\nSEC A B more") == 5
-    assert find("Of moral sense and habit", "x of moral sense, too") == 2
+    assert find("Of moral sense and habit", "x\n  of moral sense, too") == 2
+    assert find("Of moral sense and habit", "x of moral sense, too") is None
+    assert find("Virtue", "of virtue_ and virtues\nfor virtue") == 27
     assert find("", "text") is None and find("absent", "text") is None
 
 
+def naive_start(title, text, lo, hi):
+    import re
+
+    words = re.findall(r"[^\W_]+", title)
+    for before, wanted in ((r"^[ \t]*", words), (r"(?<!\w)", words), (r"^[ \t]*", words[:3])):
+        m = re.compile(before + r"[\W_]+".join(wanted) + r"(?!\w)", re.I | re.M).search(text, lo, hi) if words else None
+        if m:
+            return m.start()
+    return None
+
+
+def test_titles_as_a_search_finds_them(spark):
+    rng = random.Random(4)
+    words = ["of", "duty", "law", "the", "PART", "I", "x_y", "é"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "\n", "\n  ", "-", "_"]) for _ in range(rng.randint(0, 25))) for _ in range(150)]
+    pages = [("d", k * 2 + 1, t or None) for k, t in enumerate(texts)]
+    joined = "".join((t or "") + "\n" for _, _, t in pages)
+    starts = [sum(len(t or "") + 1 for _, _, t in pages[:k]) for k in range(len(pages))]
+    nodes, want, at = [], {}, 0
+    first = 1
+    for k in range(60):
+        title = " ".join(rng.choice(["of", "duty", "law", "the", "part", "i", "é"]) for _ in range(rng.randint(1, 5)))
+        first = min(first + rng.randint(0, 5), 305)
+        nodes.append(("d", [k], str(k), title, first, first + rng.randint(0, 12)))
+        page = lambda p: min(p // 2, len(pages) - 1)
+        lo, last = max(at, starts[page(first)]), page(nodes[-1][5])
+        hi = starts[last + 1] if last + 1 < len(pages) else len(joined)
+        found = naive_start(title, joined, lo, hi)
+        at = min(lo if found is None else found, len(joined) - 1)
+        want[str(k)] = at
+    n = spark.createDataFrame(nodes, "doc string, ord array<int>, node_path string, title string, first_page int, last_page int")
+    p = spark.createDataFrame([(*x, s) for x, s in zip(pages, starts)], "doc string, page int, text string, start_off bigint")
+    got = {r["node_path"]: r["start"] for r in C.section_spans(n, p).collect()}
+    assert got and all(want[k] == v for k, v in got.items())
+
+
+def test_percentile_by_bins(spark, monkeypatch):
+    from inkstone.functions import order
+
+    rng = random.Random(2)
+    values = [rng.choice([rng.random(), 0.25, 1e-9 * rng.random()]) for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+    monkeypatch.setattr(order, "FEW_VALUES", 50)
+    monkeypatch.setattr(order, "BINS", 7)
+    for p in (0, 12.5, 50, 95, 100):
+        assert abs(order.exact_percentile(df, "v", p) - np.percentile(values, p)) < 1e-15
+    assert order.exact_percentile(df.limit(0), "v", 50) is None
+
+
 def test_next_edges_over_buckets(spark):
     c = spark.createDataFrame([("d", f"c{k}", k * 300) for k in range(7)] + [("e", "x", 1)], "doc string, chunk_id string, p int")
     got = {(r["a"], r["b"]) for r in G.next_edges(c, "p", bucket=512).collect()}

@@ -61,9 +61,9 @@ def test_scores(spark):
     claims = spark.createDataFrame([("a", "supported"), ("a", "supported"), ("b", "supported"), ("b", "contradicted"), ("c", "unsure"), ("d", None)], "id string, verdict string")
     got = {r["id"]: (r["n_claims"], r["support"], r["grounded"], r["contradicted"]) for r in E.score_answers(claims).collect()}
     assert got == {"a": (2, 1.0, True, False), "b": (2, 0.5, False, True), "c": (0, 0.0, False, False), "d": (0, 0.0, False, False)}
-    report = E.evaluation_report(E.score_answers(claims)).first()
+    report = E.evaluation_report(E.score_answers(claims).withColumn("needs_both", F.col("id") < "b")).first()
     assert (report["answers"], report["grounded_pct"], report["contradicted_pct"]) == (4, 25.0, 25.0)
-    assert E.evaluation_report(E.score_answers(claims.limit(0))).first()["grounded_pct"] == 0.0
+    assert E.evaluation_report(E.score_answers(claims.limit(0)).withColumn("needs_both", F.lit(True))).first()["grounded_pct"] == 0.0
 
 
 def test_files_in_and_out(spark, tmp_path):

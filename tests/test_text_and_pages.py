@@ -15,8 +15,14 @@ def test_text_functions(spark):
     assert one(spark, None, X.letter_tokens(F.col("t"))) == []
     assert one(spark, " a b\n c ", X.word_count(F.col("t"))) == 3
     assert one(spark, None, X.word_count(F.col("t"))) == 0
-    assert one(spark, 'He said "go." Then left.', X.split_sentences(F.col("t"))) == ['He said "go.', "Then left."]
-    assert one(spark, "See [Off. lib. i. Cap. 6.] Now.", X.merge_brackets(X.split_sentences(F.col("t")))) == ["See [Off. lib. i. Cap. 6.] Now."]
+    cut = lambda t: [tuple(r) for r in one(spark, t, X.sentences(F.col("t")))]
+    assert cut('He said "go." Then left.') == [('He said "go.', 0, 12), ("Then left.", 14, 24)]
+    assert cut("See [Off. lib. i. Cap. 6.] Now.") == [("See [Off. lib. i. Cap. 6.] Now.", 0, 31)]
+    assert cut("A [b. C\nd-\ne.") == [("A [b. C de.", 0, 13)] and cut(None) == [] and cut(" \n ") == []
+    # a bracket that is never closed holds nothing together beyond its length
+    long = "Open [ " + "word " * 120 + "end. Next one. Last."
+    assert [x[0] for x in cut(long)][1:] == ["Next one.", "Last."]
+    assert one(spark, " a  b-\nc \n d\te ", X.one_line(F.col("t"))) == "a  bc d\te"
     assert one(spark, "ﬁve Ⅻ", X.squash_compatible(F.col("t"))) == "fivexii"
     assert one(spark, "Page 12 of 300", X.mask_digits(F.col("t"))) == "page # of #"
 
