@@ -11,11 +11,13 @@ unfinished piece of the batch with a few numpy calls. Pieces that come again are
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -192,18 +194,27 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker for ``path``."""
+    """The encoder of this Python worker for ``path``, read from the copy that was sent along with the job."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        # outside a job there is nothing sent
+        sent = SparkFiles.get(os.path.basename(path)) if SparkFiles._is_running_on_worker else path
+        _ENCODERS[path] = Encoder(sent if os.path.exists(sent) else path)
     return _ENCODERS[path]
 
 
+def send(df: DataFrame, path: str) -> None:
+    """Sends the vocabulary to the executors, which need not have it; where the driver does not have it, the executors must."""
+    if os.path.exists(path):
+        df.sparkSession.sparkContext.addFile(path)
+
+
 def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``key, ids`` for every row: the token ids of ``text`` without special tokens.
 
     Null and empty texts give an empty list, null keys are kept, repeated rows give repeated rows,
     other columns are not read. No shuffle.
     """
+    send(df, vocabulary)
     source = df.select(key, text)
     schema = T.StructType([source.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
@@ -222,6 +233,7 @@ def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", voc
 
 def count_tokens(df: DataFrame, keep: list[str], text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``keep`` columns and ``tokens``, the number of token ids of ``text`` (0 for null and empty)."""
+    send(df, vocabulary)
     source = df.select(*keep, text)
     schema = T.StructType([*[source.schema[c] for c in keep], T.StructField("tokens", T.LongType(), False)])
 

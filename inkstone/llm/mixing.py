@@ -16,8 +16,8 @@ from inkstone.functions.sizes import broadcast_if_small
 from inkstone.llm.bpe import DEFAULT_VOCABULARY, count_tokens
 from inkstone.session import cut
 
-#: Buckets per source and of the merged order: tasks that running totals are spread over.
-BUCKETS = 1024
+#: Documents a bucket of an order has on average; running totals are taken bucket by bucket, so their number grows with the corpus.
+BUCKET_ROWS = 20_000
 #: Most sources that the driver may hold; the table of targets is checked against it.
 MAX_SOURCES = 100_000
 
@@ -75,12 +75,14 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total_
     rows = sizes.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
+    # every source may be one bucket's worth or nearly all; the number is that of the whole corpus for all of them
+    buckets = max(8, -(-counted.count() // BUCKET_ROWS))
     whole = sum(r["target_share"] for r in rows) or 1.0
     table = [(r["target_share"] / whole, r["source_tokens"], r["max_repeats"]) for r in rows]
     budget = float(total_budget) if total_budget is not None else feasible(table)
     end = virtual_end(table, budget)
 
-    shuffled = counted.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
+    shuffled = counted.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_b", F.floor((F.col("_h").cast("double") / F.lit(2.0**64) + 0.5) * buckets))
     shuffled = running_total(shuffled, ["source"], "_b", ["_h", key], "tokens", "_cum")
     shares = sizes.select("source", (F.col("target_share") / F.lit(whole)).alias("weight"), "source_tokens", "max_repeats")
     queued = shuffled.join(broadcast_if_small(shares), "source")
@@ -89,7 +91,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total_
     queued = queued.where(F.col("round") < F.col("max_repeats"))
     queued = queued.withColumn("finish", (F.col("round") * F.col("source_tokens") + F.col("_cum")) / F.col("weight"))
     queued = queued.where(F.col("finish") <= F.lit(end * (1 + 1e-12)))
-    queued = cut(queued.select(key, "source", "round", "tokens", "finish", F.floor(F.col("finish") / F.lit(end or 1.0) * F.lit(BUCKETS)).alias("_q")))
+    queued = cut(queued.select(key, "source", "round", "tokens", "finish", F.floor(F.col("finish") / F.lit(end or 1.0) * F.lit(buckets)).alias("_q")))
     merged = running_total(queued, [], "_q", ["finish", "source", key], "tokens", "running_tokens")
     return merged.where(F.col("running_tokens") <= F.lit(budget + 0.5)).drop("_q", "_b")
 

@@ -22,23 +22,25 @@ OVERLAP = 50
 #: A boundary of a stronger kind is taken over a farther one of a weaker kind from this part of the piece on.
 PARAGRAPH_FROM, SENTENCE_FROM = 0.5, 0.25
 WORD = re.compile(r"[^ \t\n\r]+")
-SENTENCE_END = re.compile(r"""[.!?;:。！？；|।॥…][)\]"'”’»›」』】）]*$""")
-CLAUSE_END = re.compile(r"[,;:、，–—-]$")
-
-
-def boundary_kinds(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each word the kind of boundary after it: 3 paragraph, 2 sentence or line of its own, 1 clause, 0 none."""
-    kinds = np.zeros(len(starts), dtype=np.int8)
-    for k in range(len(starts)):
-        gap = text[ends[k] : starts[k + 1]] if k + 1 < len(starts) else "\n\n"
-        if gap.count("\n") > 1 or gap.count("\r") > 1 and "\n" not in gap:
-            kinds[k] = 3
-            continue
-        tail = text[max(starts[k], ends[k] - 6) : ends[k]]
-        if SENTENCE_END.search(tail):
-            kinds[k] = 2
-        elif CLAUSE_END.search(tail):
-            kinds[k] = 1
+SENTENCE_END = re.compile(r"""[.!?;:。！？；|।॥…][)\]"'”’»›」』】）]*(?![^ \t\n\r])""")
+CLAUSE_END = re.compile(r"[,;:、，–—-](?![^ \t\n\r])")
+LINE_GAP = re.compile(r"[ \t]*[\n\r][ \t\n\r]*")
+
+
+def boundary_kinds(text: str, ends: np.ndarray) -> np.ndarray:
+    """For each word, given where it ends, the kind of boundary after it: 3 paragraph, 2 sentence, 1 clause, 0 none.
+
+    Each kind's places are found by one scan of the text and matched with the words by their offsets.
+    """
+    kinds = np.zeros(len(ends), dtype=np.int8)
+    paragraphs = (m.start() for m in LINE_GAP.finditer(text) if m.group().count("\n") > 1 or "\n" not in m.group() and m.group().count("\r") > 1)
+    for kind, places in ((1, (m.end() for m in CLAUSE_END.finditer(text))), (2, (m.end() for m in SENTENCE_END.finditer(text))), (3, paragraphs)):
+        at = np.fromiter(places, dtype=np.int64)
+        k = np.searchsorted(ends, at)
+        inside = k < len(ends)
+        k, at = k[inside], at[inside]
+        kinds[k[ends[k] == at]] = kind
+    kinds[-1:] = 3
     return kinds
 
 
@@ -81,7 +83,7 @@ def split_texts(texts: list[str], size: int = MAX_WORDS, overlap: int = OVERLAP)
         both = np.array([m.span() for m in WORD.finditer(text)], dtype=np.int64).reshape(-1, 2)
         spans.append(both)
         n = len(both)
-        own = successors(boundary_kinds(text, both[:, 0], both[:, 1]), size, overlap) if n > size else np.full(n + 1, n)
+        own = successors(boundary_kinds(text, both[:, 1]), size, overlap) if n > size else np.full(n + 1, n)
         tables.append(own + base)
         bases.append(base)
         base += n + 1
@@ -104,11 +106,11 @@ def split_oversized(df: DataFrame, key: str = "chunk_id", text: str = "text", si
 
     A word is a longest run of characters other than blank, tab and line ends. Offsets are 0-based
     code points. Pieces hold at most ``size`` words; each repeats the last ``overlap`` words of the
-    one before. Null, empty and short texts give no rows, repeated rows of a key count once (the
-    least text), null keys and further columns are left out.
+    one before. Null, empty and short texts give no rows. A key counts once, by the least of its texts that are long
+    enough to be oversized, chosen before anything is cut; null keys and further columns are left out.
     """
     # an item of more than `size` words has at least 2 * size + 1 characters, so no oversized item is left out
-    long = df.where(F.col(key).isNotNull() & (F.length(text) > 2 * size)).select(key, text)
+    long = df.where(F.col(key).isNotNull() & (F.length(text) > 2 * size)).groupBy(key).agg(F.min(text).alias(text))
     fields = [T.StructField(c, T.IntegerType()) for c in ("piece", "first_word", "end_word", "start_pos", "end_pos")]
     schema = T.StructType([long.schema[key], *fields, *[T.StructField("piece_text", T.StringType())] * with_text])
 
@@ -127,5 +129,4 @@ def split_oversized(df: DataFrame, key: str = "chunk_id", text: str = "text", si
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_types, names = [to_arrow_type(f.dataType) for f in schema.fields], schema.names
-    pieces = long.mapInArrow(run, schema)
-    return pieces.dropDuplicates([key, "piece"])
+    return long.mapInArrow(run, schema)

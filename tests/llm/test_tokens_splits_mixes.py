@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,6 +92,20 @@ def test_pieces_end_at_natural_places():
     assert splitting.split_texts([text])[0][0][1] == 901
 
 
+def test_kinds_of_boundaries():
+    text = "one two, three. four\n\nfive six\nseven\r\reight”. 九。 ten—\r\n \r\nlast"
+    ends = np.array([m.end() for m in splitting.WORD.finditer(text)])
+    assert splitting.boundary_kinds(text, ends).tolist() == [0, 1, 2, 3, 0, 0, 3, 2, 2, 3, 3]
+
+
+def test_one_text_of_a_key_is_cut(spark):
+    rows = [("k", "b " * 2000), ("k", "a " * 4000), ("s", "short"), ("s", "c " * 1600)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string").repartition(4)
+    got = splitting.split_oversized(df).collect()
+    assert {r["piece_text"][0] for r in got if r["chunk_id"] == "k"} == {"a"} and sorted(r["end_word"] for r in got if r["chunk_id"] == "k") == [1500, 2950, 4000]
+    assert {r["piece_text"][0] for r in got if r["chunk_id"] == "s"} == {"c"}
+
+
 def test_only_oversized_chunks_come_out(spark):
     rows = [("a", "w " * 1500, 9), ("b", "w " * 1501, 3), ("b", "w " * 1501, 3), ("c", None, 5000), ("d", "", None), (None, "w " * 1600, 1), ("e", "w " * 5000, 1)]
     df = spark.createDataFrame(rows, "chunk_id string, text string, piece int")
