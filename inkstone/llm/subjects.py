@@ -5,7 +5,7 @@ of hashed words, word pairs or, in scripts without spaces, character n-grams. Co
 first taken from the labelled documents, then refined by expectation-maximization over the segments
 of all documents, where labels only tilt the prior of their own documents, so that wrong and missing
 labels do not hold. A document's evidence for a subject is its expected number of segments; posteriors
-per subject, independent of each other, are calibrated on the labelled documents.
+per subject, independent of each other, are calibrated on labelled documents held back from the training.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.functions.sizes import broadcast_if_small
@@ -25,10 +25,14 @@ from inkstone.session import cut
 
 #: Hash buckets of features: the size of the model, whatever the corpus.
 BUCKETS = 1 << 18
-#: Rounds of expectation-maximization over all documents. On held labels one round is best; later rounds drift in languages with few documents.
-ROUNDS = 1
-#: Labelled documents, at most, on which the calibration is fitted (chosen by a hash of the id).
+#: Rounds of expectation-maximization over all documents, at most; they end before when the likelihood of the held labels no longer rises.
+ROUNDS = 5
+#: One labelled document of so many (by a hash of its id) is held back from training; its labels end the rounds and fit the calibration.
+HELD = 4
+#: Held documents, at most, that the driver reads for that (by a hash of the id).
 CALIBRATION_DOCUMENTS = 50_000
+#: Held documents of a subject at which its own calibration counts as much as that of all subjects together.
+CALIBRATION_TRUST = 300.0
 #: Most subjects the model holds; the table of subjects is checked against it.
 MAX_SUBJECTS = 256
 SMOOTHING = 0.5
@@ -44,6 +48,8 @@ PRIOR_LABELLED, PRIOR_OTHER = 0.4, 0.02
 MIXTURE = 2.0
 THRESHOLD = 0.5
 MEMO = 300_000
+#: Tasks that gather counts; each reads many partitions of the documents one after the other.
+GATHER_TASKS = 2048
 
 SEGMENT = re.compile(r"[.!?。！？।|;；]+(?=[\s\"'”’»」)\]]|$)|(?<=[。！？])|\n\s*\n|(?<=[฀-๿])[ ]+(?=[฀-๿])|(?<=[぀-鿿])[ 　]+(?=[぀-鿿])")
 WORD = re.compile(r"[^\s.,!?;:()\[\]“”„«»\"'‘’—–\-।|。，、！？；：（）「」…]+")
@@ -101,10 +107,22 @@ class Reader:
         return out
 
 
+def pack(ids: list[int]) -> bytes:
+    """Bucket numbers (below 2**24) in three byte planes, compressed: what the corpus of segments takes on disk."""
+    return pa.compress(np.array(ids, dtype="<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes(), codec="zstd", asbytes=True) if ids else b""
+
+
+def unpack(packed: bytes, count: int) -> np.ndarray:
+    if not count:
+        return np.zeros(0, dtype=np.int64)
+    planes = np.frombuffer(pa.decompress(packed, 3 * count, codec="zstd", asbytes=True), dtype=np.uint8).reshape(3, count).astype(np.int64)
+    return planes[0] | planes[1] << 8 | planes[2] << 16
+
+
 def read_documents(documents: DataFrame, labels: DataFrame | None, subjects: list[str], key: str, text: str) -> DataFrame:
-    """``key, mask, sizes, ids``: segments of every document as bucket numbers; bit k of ``mask`` is a label of subject k."""
+    """``key, sizes, ids, mask``: segments of every document as packed bucket numbers; ``mask`` lists the subjects of its labels."""
     source = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text)
-    schema = f"{key} {dict(source.dtypes)[key]}, sizes array<int>, ids array<int>"
+    schema = f"{key} {dict(source.dtypes)[key]}, sizes array<int>, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
@@ -113,8 +131,8 @@ def read_documents(documents: DataFrame, labels: DataFrame | None, subjects: lis
             for t in batch.column(1).to_pylist():
                 parts = reader.segments(t)
                 sizes.append([len(p) for p in parts])
-                ids.append([i for p in parts for i in p])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.list_(pa.int32())), pa.array(ids, type=pa.list_(pa.int32()))], names=[key, "sizes", "ids"])
+                ids.append(pack([i for p in parts for i in p]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.list_(pa.int32())), pa.array(ids, type=pa.binary())], names=[key, "sizes", "ids"])
 
     number = F.create_map(*[x for k, s in enumerate(subjects) for x in (F.lit(s), F.lit(k))])
     marks = labels.where(F.col(key).isNotNull() & F.col("subject").isin(*subjects)).select(F.col(key), number[F.col("subject")].alias("k")).distinct()
@@ -130,7 +148,9 @@ def complement_weights(counts: np.ndarray) -> np.ndarray:
     """
     inside, total = counts[:, :-1], counts.sum(axis=1, keepdims=True)
     outside = total - inside
-    width = (total > 0).sum()
+    width = max(1, (total > 0).sum())
+    if not total.any():
+        return np.zeros(inside.shape, dtype=np.float32)
     rate_in = (inside + SMOOTHING) / (inside.sum(axis=0) + SMOOTHING * width)
     rate_out = (outside + SMOOTHING) / (outside.sum(axis=0) + SMOOTHING * width)
     weights = np.log(rate_in / rate_out) * (total / (total + HALF_TRUST))
@@ -162,8 +182,11 @@ def document_posteriors(ids: np.ndarray, sizes: np.ndarray, weights: np.ndarray,
 def _arrays(batch: pa.RecordBatch, subjects: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids and sizes of all segments of a batch, the document of each, and the prior of each."""
     sizes = batch.column("sizes").flatten().to_numpy(zero_copy_only=False)
-    ids = batch.column("ids").flatten().to_numpy(zero_copy_only=False)
-    per = np.array([len(x) for x in batch.column("sizes").to_pylist()], dtype=np.int64)
+    offsets = batch.column("sizes").offsets.to_numpy()
+    per = np.diff(offsets)
+    totals = np.diff(np.concatenate([[0], np.cumsum(sizes)])[offsets - offsets[0]])
+    parts = [unpack(x, n) for x, n in zip(batch.column("ids").to_pylist(), totals.tolist(), strict=True)]
+    ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
     owner = np.repeat(np.arange(batch.num_rows), per)
     return ids, sizes, owner, label_matrix(batch.column("mask"), subjects)
 
@@ -183,8 +206,17 @@ def priors(labelled: np.ndarray, subjects: int) -> np.ndarray:
     return np.concatenate([own, 1 - own.sum(axis=1, keepdims=True)], axis=1)
 
 
+#: A segment's share in a subject below this is added to the class of no subject.
+LEAST_COUNT = 1e-3
+
+
 def _gather(read: DataFrame, subjects: int, weights: np.ndarray | None) -> np.ndarray:
-    """Expected feature counts of each class over all documents; without weights, over the labelled ones."""
+    """Expected feature counts of each class over all documents; without weights, over the labelled ones.
+
+    A task hands on its counts as (bucket, class, count) where there is any, in single floats: most buckets have
+    counts of few classes. Partitions are merged to at most ``GATHER_TASKS`` tasks first, without a shuffle, so that what is
+    shuffled is bounded by the model's size, not by the number of tasks.
+    """
     shared = read.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,22 +235,26 @@ def _gather(read: DataFrame, subjects: int, weights: np.ndarray | None) -> np.nd
             else:
                 share = document_posteriors(ids, sizes, weights, prior, owner)
                 share *= np.where(labelled.any(axis=1), 1.0, UNLABELLED)[owner][:, None]
-            used = np.flatnonzero(share.any(axis=1))
+            # nearly every segment is of one class; the class of no subject is what is left of all
             each = np.repeat(np.arange(len(sizes)), sizes)
-            for c in range(subjects + 1):
-                counts[:, c] += np.bincount(ids, weights=share[each, c], minlength=BUCKETS) if len(used) else 0
-        rows = np.flatnonzero(counts.any(axis=1))
-        values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (subjects + 1)), pa.array(counts[rows].ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), values], names=["bucket", "n"])
-
-    parts = read.select("mask", "sizes", "ids").mapInArrow(run, "bucket int, n array<double>")
-    sums = parts.groupBy("bucket").agg(*[F.sum(F.col("n")[c]).alias(f"c{c}") for c in range(subjects + 1)])
-    table = sums.toArrow()  # at most BUCKETS rows
-    counts = np.zeros((BUCKETS, subjects + 1))
-    at = table.column("bucket").to_numpy()
-    for c in range(subjects + 1):
-        counts[at, c] = table.column(f"c{c}").to_numpy()
-    return counts
+            whole = share.sum(axis=1)
+            everything = np.bincount(ids, weights=whole[each], minlength=BUCKETS)
+            for c in range(subjects):
+                some = (share[:, c] > LEAST_COUNT)[each]
+                mine = np.bincount(ids[some], weights=share[each[some], c], minlength=BUCKETS) if some.any() else 0
+                counts[:, c] += mine
+                everything -= mine
+            counts[:, -1] += np.maximum(everything, 0)
+        rows, classes = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array((rows * (subjects + 1) + classes).astype(np.int32)), pa.array(counts[rows, classes].astype(np.float32))], names=["cell", "n"])
+
+    # without weights documents without labels add nothing
+    source = read.where(F.col("mask").isNotNull()) if weights is None else read
+    parts = source.select("mask", "sizes", "ids").coalesce(GATHER_TASKS).mapInArrow(run, "cell int, n float")
+    table = parts.groupBy("cell").agg(F.sum(F.col("n").cast("double")).alias("n")).toArrow()  # at most BUCKETS times the classes
+    counts = np.zeros(BUCKETS * (subjects + 1))
+    counts[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    return counts.reshape(BUCKETS, subjects + 1)
 
 
 def evidence(read: DataFrame, key: str, subjects: int, weights: np.ndarray) -> DataFrame:
@@ -246,38 +282,82 @@ def calibration_features(found: np.ndarray, segments: np.ndarray) -> np.ndarray:
     return np.stack([np.ones_like(found), np.log(found + 0.3), found / np.maximum(segments, 1)], axis=-1)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
-    """Logistic regression by Newton steps."""
-    beta = np.zeros(x.shape[1])
+def fit_logistic(x: np.ndarray, y: np.ndarray, toward: np.ndarray | None = None, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
+    """Logistic regression by Newton steps; ``ridge`` draws the coefficients to ``toward`` (0)."""
+    toward = np.zeros(x.shape[1]) if toward is None else toward
+    beta = toward.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (y - p) - ridge * beta)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (y - p) - ridge * (beta - toward))
         beta += step
         if np.abs(step).max() < 1e-8:
             break
     return beta
 
 
+def held_back(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), key), F.lit(HELD)) == 0
+
+
+def calibrate(found: np.ndarray, segments: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients of each subject's own posterior, and the mean log-likelihood of the held labels under them.
+
+    A subject's fit is drawn to that of all subjects together, the less the more documents have it. The likelihood is
+    that of two halves, each judged by the other's fit.
+    """
+    x = calibration_features(found, segments[:, None].astype(float))
+
+    def fit(rows: np.ndarray) -> np.ndarray:
+        all_subjects = fit_logistic(x[rows].reshape(-1, x.shape[-1]), labels[rows].ravel().astype(float))
+        return np.stack([fit_logistic(x[rows, c], labels[rows, c].astype(float), all_subjects, CALIBRATION_TRUST / max(1.0, labels[rows, c].sum())) for c in range(labels.shape[1])])
+
+    half = np.arange(len(x)) % 2 == 0
+    likelihood = []
+    for mine in (half, ~half):
+        if not mine.any() or mine.all():
+            continue
+        score = np.einsum("ncf,cf->nc", x[mine], fit(~mine))
+        likelihood.append(np.where(labels[mine], -np.logaddexp(0, -score), -np.logaddexp(0, score)).ravel())
+    return fit(np.ones(len(x), dtype=bool)), float(np.concatenate(likelihood).mean()) if likelihood else 0.0
+
+
 def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray, DataFrame]:
-    """Subject names, feature weights, calibration, and the evidence of every document."""
+    """Subject names, feature weights, calibration of each subject, and the evidence of every document.
+
+    Labels of held documents take no part while they tell how many rounds help, and calibrate; the weights are then
+    trained anew on all labels with that number of rounds.
+    """
     names = [r["subject"] for r in subjects.where("subject IS NOT NULL").select("subject").distinct().orderBy("subject").limit(MAX_SUBJECTS + 1).collect()]
     if len(names) > MAX_SUBJECTS:
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     k = len(names)
     read = cut(read_documents(documents, labels, names, key, text))
+    training = read.withColumn("mask", F.when(~held_back(key), F.col("mask")))
+    chosen = read.where(F.col("mask").isNotNull() & held_back(key))
+    # a fixed order, so that the same documents are halved alike in every round
+    held = cut(chosen.orderBy(F.xxhash64(key), key).limit(CALIBRATION_DOCUMENTS))
+    usual = np.tile(np.array([-1.5, 1.5, 1.0]), (k, 1))
+
+    def judged(weights: np.ndarray) -> tuple[np.ndarray, float]:
+        rows = evidence(held, key, k, weights).select(key, "mask", "segments", "found").toArrow().sort_by(key)
+        if rows.num_rows < 2:
+            return usual, 0.0
+        return calibrate(np.array(rows.column("found").to_pylist()).reshape(-1, k), rows.column("segments").to_numpy(), label_matrix(rows.column("mask").combine_chunks(), k))
+
+    weights = complement_weights(_gather(training, k, None))
+    turns, (beta, best) = 0, judged(weights)
+    while turns < rounds:
+        weights = complement_weights(_gather(training, k, weights))
+        new, likelihood = judged(weights)
+        # the first round brings in the unlabelled documents; further ones must raise the likelihood
+        if turns and likelihood <= best:
+            break
+        turns, beta, best = turns + 1, new, likelihood
+    # as many rounds once more, from all labels
     weights = complement_weights(_gather(read, k, None))
-    for _ in range(rounds):
+    for _ in range(turns):
         weights = complement_weights(_gather(read, k, weights))
-    scored = cut(evidence(read, key, k, weights))
-    chosen = scored.where(F.col("mask").isNotNull()).orderBy(F.xxhash64(key)).limit(CALIBRATION_DOCUMENTS).select("mask", "segments", "found").toArrow()
-    if chosen.num_rows:
-        found = np.array(chosen.column("found").to_pylist())
-        y = label_matrix(chosen.column("mask").combine_chunks(), k)
-        x = calibration_features(found, chosen.column("segments").to_numpy()[:, None].astype(float))
-        beta = fit_logistic(x.reshape(-1, x.shape[-1]), y.ravel().astype(float))
-    else:
-        beta = np.array([-1.5, 1.5, 1.0])
-    return names, weights, beta, scored
+    return names, weights, beta, evidence(read, key, k, weights)
 
 
 def subject_posteriors(documents: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -299,7 +379,7 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, subjects: DataFr
                 continue
             found = batch.column("found").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names))
             x = calibration_features(found, batch.column("segments").to_numpy(zero_copy_only=False)[:, None].astype(float))
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(np.einsum("ncf,cf->nc", x, beta), -30, 30)))
             row, which = np.nonzero(p >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), pa.array([names[w] for w in which], type=pa.string()), pa.array(p[row, which])], names=[key, "subject", "posterior"])
 
