@@ -24,8 +24,10 @@ from pyspark.sql import types as T
 from inkstone.session import cut
 
 ABBREVIATION_SCORE, STARTER_SCORE, COLLOCATION_SCORE = 0.3, 30.0, 7.88
-#: Types and pairs below this share of a language's tokens are not kept as statistics, which bounds them to 1 / share each.
-LEAST_SHARE = 1e-6
+#: Entries of all models together that the driver reads; more is an error, not a cut. Only what was accepted is read, statistics of all types stay in the cluster.
+MOST_LEARNED = 5_000_000
+#: How often a word has to go on after quoted questions, and how much more often than it begins sentences, to be one of speech.
+SPEECH_COUNT, SPEECH_RATIO = 5, 4.0
 #: Distinct counts a worker holds before it hands them on; a bound on memory, sums do not change.
 FLUSH = 200_000
 
@@ -62,8 +64,18 @@ THAI, DEVANAGARI, KANA, HAN = "฀-๿", "ऀ-ॿ", "぀-ヿ", "一-鿿㐀-䶿"
 SCRIPTS = [("th", re.compile(f"[{THAI}]")), ("hi", re.compile(f"[{DEVANAGARI}]")), ("ja", re.compile(f"[{KANA}]")), ("zh", re.compile(f"[{HAN}]"))]
 ANY_SCRIPT = re.compile(f"[{THAI}{DEVANAGARI}{KANA}{HAN}]")
 LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
-#: Speech that goes on after a quoted question or exclamation in Chinese, Japanese and Thai.
-CJK_SPEECH = re.compile(r"\s*(?:と|[A-Za-z]{2,20}\s*(?:问|問|说|說|道|答|喊|ถาม|กล่าว|ने))")
+# fixed values: common verbs (in Hindi the mark of the speaker, in Japanese that of speech) with which a sentence goes on after a quotation; others are learned
+SPEECH_VERBS = r"(?:と(?:[^、。]|$)|(?:[A-Za-z]{{2,20}}\s*|[{han}]{{1,4}}?)(?:问|問|说|說|道|答|喊)|[A-Za-z]{{0,20}}\s*(?:ถาม|กล่าว)|\S{{2,20}}\s+ने\s)"
+SPEECH_AFTER = re.compile(rf"\s*{SPEECH_VERBS.format(han='一-鿿')}")
+#: A quoted question or exclamation, and an end without quotation; then who speaks, if in Latin letters, and the first characters after.
+QUOTED_LEAD = re.compile(rf"[!?！？][”」』\"]\s*([A-Za-z]{{2,20}}\s*)?([{THAI}{DEVANAGARI}{KANA}{HAN}]{{1,4}})")
+PLAIN_LEAD = re.compile(rf"[.!?。！？।|]\s*([A-Za-z]{{2,20}}\s*)?([{THAI}{DEVANAGARI}{KANA}{HAN}]{{1,4}})")
+#: Characters of a lead that tell a word, by language.
+LEAD = {"zh": 1, "ja": 1, "th": 4, "hi": 2}
+
+
+def lead_of(lang: str, m: re.Match) -> str:
+    return ("+" if m.group(1) else "") + m.group(2)[: LEAD[lang]]
 
 
 def language(text: str) -> str:
@@ -142,6 +154,18 @@ class Model:
     starters: set[str] = field(default_factory=set)
     common: set[str] = field(default_factory=set)  # types written small inside sentences
     collocations: set[tuple[str, str]] = field(default_factory=set)
+    speech: set[str] = field(default_factory=set)  # types, or leads in scripts without capitals, that go on after quoted questions
+
+
+def speech_goes_on(text: str, at: int, lang: str, model: "Model") -> bool:
+    """Whether a sentence goes on behind a quotation that ends at ``at``, in scripts without capitals."""
+    if SPEECH_AFTER.match(text, at):
+        return True
+    m = _AFTER.match(text, at)
+    return bool(m) and lang in LEAD and lead_of(lang, m) in model.speech
+
+
+_AFTER = re.compile(rf"\s*([A-Za-z]{{2,20}}\s*)?([{THAI}{DEVANAGARI}{KANA}{HAN}]{{1,4}})")
 
 
 def bare(token: str) -> str:
@@ -187,6 +211,10 @@ def count_text(text: str, counts: Counter) -> None:
     lang = language(text)
     lower = written_small(text)
     spaceless = lang in ("zh", "ja", "th")
+    if lang in LEAD:
+        for kind, pattern in (("said", QUOTED_LEAD), ("told", PLAIN_LEAD)):
+            for m in pattern.finditer(text):
+                counts[kind, lang, lead_of(lang, m), ""] += 1
     for start, end, listed in blocks(text):
         body = LIST_MARK.sub("", text[start:end], count=1) if listed else text[start:end]
         tokens = body.split()
@@ -209,6 +237,15 @@ def count_text(text: str, counts: Counter) -> None:
                         counts["pair", lang, kind, after[3]] += 1
                         if after[2] and not lower:
                             counts["follow" if after[2] == "small" else "Follow", lang, kind, after[3]] += 1
+            if not lower and k < last and token[-1:] in "”»\"" and token[-2:-1] in ("!", "?") and lang not in LEAD:
+                # a small letter after a quoted question goes on with who asked it
+                after = analyse(tokens[k + 1])
+                if after[3] and after[2]:
+                    counts["said" if after[2] == "small" else "told", lang, after[3], ""] += 1
+            if token.endswith("…") or token.endswith("..."):
+                after = analyse(tokens[k + 1])[3] if k < last else ""
+                if after:
+                    counts["dots", lang, after, ""] += 1
             sure, fresh = next_sure, next_fresh
 
 
@@ -263,55 +300,65 @@ def learn(documents: DataFrame, text: str = "text") -> dict[str, Model]:
 
     counted = documents.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "kind string, lang string, type string, after string, n bigint")
     counted = cut(counted.groupBy("kind", "lang", "type", "after").agg(F.sum("n").alias("n")))
-    total = counted.where(F.col("kind").isin("with", "without", "start")).groupBy("lang").pivot("kind", ["with", "without", "start"]).sum("n").fillna(0)
-    totals = {r["lang"]: (r["with"], r["with"] + r["without"], r["start"]) for r in total.collect()}  # one row a language
-    floor = F.lit(0.0)
-    for lang, (_, tokens, _) in totals.items():
-        floor = F.when(F.col("lang") == lang, F.lit(tokens * LEAST_SHARE)).otherwise(floor)
-    # candidates only: what no threshold could accept stays in the cluster
-    kinds = counted.where("after = ''").groupBy("lang", "type").pivot("kind", ["with", "without", "start", "small", "capital"]).sum("n").fillna(0)
-    kept = kinds.where((F.col("with") + F.col("without") + F.col("start") >= floor)).collect()
+    of = lambda *names: [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in names]
+    singles = counted.where("after = ''")
+    totals = {r["lang"]: r for r in singles.groupBy("lang").agg(*of("with", "without", "start", "said", "told")).collect()}  # one row a language
+    kinds = singles.groupBy("lang", "type").agg(*of("with", "without", "start", "small", "capital", "said", "told", "dots"))
+    every = {lang: (r["with"], r["with"] + r["without"], r["start"], r["said"], r["told"]) for lang, r in totals.items()}
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {"short": [], "starter": [], "common": [], "speech": []}
+            for lang, kind, stops, plain, starts, small, capital, said, told, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                periods, tokens, all_starts, all_said, all_told = every[lang]
+                seen = stops + plain
+                out["short"].append(bool(stops) and (len(kind) > 1 or kind.isascii()) and len(kind.replace(".", "")) <= 8 and "#" not in kind and abbreviation_score(kind, stops, plain, periods, tokens) >= ABBREVIATION_SCORE)
+                out["starter"].append(bool(starts) and starts / all_starts > seen / tokens and pair_likelihood(all_starts, seen, starts, tokens) >= STARTER_SCORE)
+                out["common"].append(small > 10 * capital)
+                out["speech"].append(said >= SPEECH_COUNT and said / all_said >= SPEECH_RATIO * told / max(1, all_told))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(9), *[pa.array(v, pa.bool_()) for v in out.values()]], names=["lang", "type", "with", "without", "dots", *out])
+
+    flags = cut(kinds.mapInArrow(judge, "lang string, type string, with bigint, without bigint, dots bigint, short boolean, starter boolean, common boolean, speech boolean"))
+    common = flags.where("common").select("lang", F.col("type").alias("after"), F.lit(True).alias("common"))
+    short = flags.where("short").select("lang", "type")
+    # what follows the candidates: small letters or numbers, names, or words that are common inside sentences
+    follow = counted.where(F.col("kind").isin("follow", "Follow")).join(short, ["lang", "type"], "left_semi").join(common, ["lang", "after"], "left")
+    inside = (F.col("kind") == "follow") | F.col("after").contains("#")
+    name = ~inside & F.col("common").isNull()
+    followed = follow.groupBy("lang", "type").agg(F.sum("n").alias("n"), F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("small"), F.sum(F.when(name, F.col("n")).otherwise(0)).alias("names"))
+    judged = short.join(followed, ["lang", "type"], "left").select("lang", "type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("small", F.lit(0)).alias("small"), F.coalesce("names", F.lit(0)).alias("names"))
+    # words that only ever end sentences look like abbreviations to the ratio, but not by what follows them
+    kept = cut(judged.where("n = 0 OR small >= 0.05 * n OR names >= 0.85 * n").select("lang", "type", F.when(F.col("n") > 0, F.col("names") / F.col("n")).otherwise(0.0).alias("share")))
+    single = (F.length("type") == 1) | F.col("type").contains(".") | F.col("type").contains("#")
+    pairs = counted.where("kind = 'pair' AND n > 1")
+    pairs = pairs.where(single).unionByName(pairs.where(~single).join(kept, ["lang", "type"], "left_semi"))
+    first = flags.select("lang", "type", F.col("with").alias("stops"))
+    second = flags.where("NOT starter").select("lang", F.col("type").alias("after"), (F.col("with") + F.col("without")).alias("seen"))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, _, _, n, stops, seen = (c.to_pylist() for c in batch.columns)
+            yield batch.filter(pa.array([pair_likelihood(a, b, k, every[x][1]) >= COLLOCATION_SCORE for x, k, a, b in zip(lang, n, stops, seen, strict=True)], pa.bool_())).select(["lang", "type", "after"])
+
+    sides = pairs.join(first, ["lang", "type"]).join(second, ["lang", "after"]).select("lang", "type", "after", "n", "stops", "seen")
+    collocations = sides.mapInArrow(together, "lang string, type string, after string")
+    # of the words common inside sentences those that stand where they decide: after abbreviations, initials and dots, or among the starters
+    asked = counted.where("kind = 'pair'").where(single).select("lang", "after").unionByName(counted.where("kind = 'pair'").join(kept, ["lang", "type"], "left_semi").select("lang", "after")).unionByName(flags.where("dots > 0 OR starter").select("lang", F.col("type").alias("after")))
+    needed = common.join(asked.distinct(), ["lang", "after"], "left_semi")
+    plain = lambda df, what, kind="type": df.select(F.lit(what).alias("what"), "lang", F.col(kind).alias("type"), F.lit(None).cast("string").alias("after"), F.lit(0.0).alias("share"))
+    learned = plain(flags.where("starter"), "starter").unionByName(plain(flags.where("speech"), "speech")).unionByName(plain(needed, "common", "after")).unionByName(kept.select(F.lit("short").alias("what"), "lang", "type", F.lit(None).cast("string").alias("after"), "share")).unionByName(collocations.select(F.lit("pair").alias("what"), "lang", "type", "after", F.lit(0.0).alias("share")))
+    rows = learned.limit(MOST_LEARNED + 1).toArrow()
+    if rows.num_rows > MOST_LEARNED:
+        raise ValueError("more was learned of the languages than the driver may hold")
     models = {lang: Model() for lang in totals}
-    seen: dict[str, dict[str, tuple[int, int]]] = {lang: {} for lang in totals}
-    for r in kept:
-        lang, kind = r["lang"], r["type"]
-        periods, tokens, starts = totals[lang]
-        seen[lang][kind] = (r["with"], r["with"] + r["without"])
-        if r["with"] and (len(kind) > 1 or kind.isascii()) and len(kind.replace(".", "")) <= 8 and "#" not in kind and abbreviation_score(kind, r["with"], r["without"], periods, tokens) >= ABBREVIATION_SCORE:
-            models[lang].abbreviations[kind] = 0.0
-        if r["start"] and starts:
-            every = r["with"] + r["without"]
-            if r["start"] / starts > every / tokens and pair_likelihood(starts, every, r["start"], tokens) >= STARTER_SCORE:
-                models[lang].starters.add(kind)
-        if r["small"] > 10 * r["capital"]:
-            models[lang].common.add(kind)
-    short = counted.where(F.col("kind").isin("pair", "follow", "Follow") & (F.col("n") >= floor))
-    pairs = short.where((F.length("type") <= 3) | F.col("type").contains(".") | F.col("type").contains("#") | (F.col("kind") != "pair")).collect()
-    names: Counter = Counter()
-    small: Counter = Counter()
-    every: Counter = Counter()
-    for r in pairs:
-        model = models[r["lang"]]
-        if r["kind"] == "pair":
-            mine, other = seen[r["lang"]].get(r["type"]), seen[r["lang"]].get(r["after"])
-            if mine and other and r["n"] > 1 and r["after"] not in model.starters and pair_likelihood(mine[0], other[1], r["n"], totals[r["lang"]][1]) >= COLLOCATION_SCORE:
-                model.collocations.add((r["type"], r["after"]))
-        elif r["type"] in model.abbreviations:
-            every[r["lang"], r["type"]] += r["n"]
-            if r["kind"] == "follow" or "#" in r["after"]:
-                small[r["lang"], r["type"]] += r["n"]
-            elif r["after"] not in model.common:
-                names[r["lang"], r["type"]] += r["n"]
-    for lang, model in models.items():
-        for kind in list(model.abbreviations):
-            n = every[lang, kind]
-            if not n:
-                continue
-            # words that only ever end sentences look like abbreviations to the ratio, but not by what follows them
-            if small[lang, kind] < 0.05 * n and names[lang, kind] < 0.85 * n:
-                del model.abbreviations[kind]
-            else:
-                model.abbreviations[kind] = names[lang, kind] / n
+    for what, lang, kind, after, share in zip(*(rows.column(c).to_pylist() for c in ("what", "lang", "type", "after", "share")), strict=True):
+        model = models[lang]
+        if what == "short":
+            model.abbreviations[kind] = share
+        elif what == "pair":
+            model.collocations.add((kind, after))
+        else:
+            {"starter": model.starters, "common": model.common, "speech": model.speech}[what].add(kind)
     return models
 
 
@@ -348,7 +395,7 @@ def inner_ends(text: str, start: int, end: int, lang: str, model: Model, lower:
     places = list(END.finditer(text, start, end))
     if lang in ("th", "zh", "ja"):
         gaps = [m for m in re.finditer(rf"[{BLANK}]*[ 　 ][{BLANK}]*", text[start:end])]
-        cuts += [start + m.start() for m in gaps if blank_ends(text, start, start + m.start(), start + m.end(), end, lang)]
+        cuts += [start + m.start() for m in gaps if blank_ends(text, start, start + m.start(), start + m.end(), end, lang, model)]
     for m in places:
         for mark in MARK.finditer(text, at, m.end()):
             c = mark.group(0)
@@ -376,7 +423,7 @@ def inner_ends(text: str, start: int, end: int, lang: str, model: Model, lower:
     return sorted(set(cuts))
 
 
-def blank_ends(text: str, start: int, a: int, b: int, end: int, lang: str) -> bool:
+def blank_ends(text: str, start: int, a: int, b: int, end: int, lang: str, model: Model) -> bool:
     """Whether the blanks at ``a`` to ``b`` part two sentences of a script without periods."""
     if a <= start or b >= end:
         return False
@@ -387,9 +434,9 @@ def blank_ends(text: str, start: int, a: int, b: int, end: int, lang: str) -> bo
     if lang == "th":
         if before.isdigit() or after.isdigit() or before in ",;:–—-" or after in ",;:–—-%ฯๆ(（":
             return False
-        return bool(re.match(f"[{THAI}”\"’)]", before)) and bool(re.match(f"[{THAI}“\"A-Za-z]", after)) and not (before == "”" and CJK_SPEECH.match(text, b))
+        return bool(re.match(f"[{THAI}”\"’)]", before)) and bool(re.match(f"[{THAI}“\"A-Za-z]", after)) and not (before == "”" and speech_goes_on(text, b, lang, model))
     wide = rf"[{HAN}{KANA}」』”）]"
-    return bool(re.match(wide, before)) and bool(re.match(rf"[{HAN}{KANA}「『“A-Za-z0-9]", after)) and not CJK_NUMBER.search(inside) and not (before in "」”" and CJK_SPEECH.match(text, b))
+    return bool(re.match(wide, before)) and bool(re.match(rf"[{HAN}{KANA}「『“A-Za-z0-9]", after)) and not CJK_NUMBER.search(inside) and not (before in "」”" and speech_goes_on(text, b, lang, model))
 
 
 def ends_here(text: str, m: re.Match, start: int, end: int, lang: str, model: Model, lower: bool) -> bool:
@@ -408,10 +455,10 @@ def ends_here(text: str, m: re.Match, start: int, end: int, lang: str, model: Mo
         return False
     if lang in ("zh", "ja"):
         if marks[0] in "。！？｡．!?":
-            return not (quoted and CJK_SPEECH.match(text, b))
+            return not (quoted and speech_goes_on(text, b, lang, model))
         return False if "…" in marks else marks[0] == "." and gap and not text[m.start() - 1].isalnum()
     if "|" in marks or "।" in marks or "॥" in marks:
-        return bool(re.search(f"[{DEVANAGARI}0-9”\"')]", text[max(start, m.start() - 2) : m.start()])) and not (quoted and CJK_SPEECH.match(text, b))
+        return bool(re.search(f"[{DEVANAGARI}0-9”\"')]", text[max(start, m.start() - 2) : m.start()])) and not (quoted and speech_goes_on(text, b, lang, model))
     token = TOKEN.match(text, b)
     following = bare(token.group(0)) if token else ""
     following = following.rstrip(".")
@@ -423,9 +470,9 @@ def ends_here(text: str, m: re.Match, start: int, end: int, lang: str, model: Mo
         return not small and (following in model.common or following in model.starters) if not lower else following in model.starters
     if "!" in marks or "?" in marks:
         if quoted:
-            if CJK_SPEECH.match(text, b):
+            if speech_goes_on(text, b, lang, model):
                 return False
-            return not small or lower and following in model.starters and following not in ("asked",)
+            return not small or lower and following in model.starters and following not in model.speech
         return gap or not small
     # a period
     word_start = m.start()
