@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.functions.sizes import broadcast_if_small
@@ -29,8 +29,8 @@ from inkstone.session import cut
 SHARED_WORDS = 3
 #: One shared word less is enough for a piece of so many words.
 LONG_PIECE = 9
-#: In scripts without spaces, characters.
-SHARED_CHARACTERS = 4
+#: Words that are enough behind finished sentences of the same answer.
+SHARED_AFTER = 1
 #: A length of a model is a limit if this many unfinished answers have it and they are this many times those of the neighbouring lengths.
 SPIKE_ANSWERS, SPIKE_RATIO, SPIKE_LENGTH = 20, 8.0, 120
 
@@ -41,9 +41,21 @@ TAG = re.compile(r"</?[a-zA-Z][^<>]{0,40}>")
 LABEL = re.compile(r"^\s*(?:\*\*)?(?:A|Q|Answer|Question|Response|Antwort|Frage|Réponse|Question|F|R|答|问|答案|回答|问题)(?:\*\*)?\s*[:：]\s*", re.I)
 # fixed values: what stands for an answer that was not given
 PLACEHOLDERS = set("none|null|nil|nan|n a|na|no answer|answer|empty|tbd|todo|unknown|undefined|blank|answer here|not available|not applicable|no response|response|keine|keine antwort|leer|ohne antwort|k a|aucune|aucune réponse|vide|sans réponse|néant|无|空|暂无|没有答案|无答案|なし|無し|回答なし|ไม่มี|कोई नहीं|उत्तर नहीं|your answer|insert answer here|xxx".split("|"))
-# fixed values: refusals, one pattern a language; each is tried on single sentences
+#: Word classes that English refusals are made of: verbs of answering, of being able or willing, what an answer would rest on.
+_ACTS = r"(?:answer|say|tell|judge|decide|discuss|comment|compare|provide|give|help|determine|assess|speak|respond|address|assist|offer|take (?:a|any) (?:side|position|view)|form (?:a|any) (?:view|opinion))"
+_BASIS = r"(?:passages?|excerpts?|texts?|material|context|sources?|quotations?|pages?|documents?|information)"
+_LIMIT = r"(?:cannot|can not|can't|can’t|could not|couldn't|couldn’t|won't|won’t|will not|would not|wouldn't|am unable|am not able|am not (?:allowed|permitted|qualified|competent|in a position)|unable|not able|would rather not|would prefer not|prefer not|must (?:decline|refuse|pass)|have to (?:decline|refuse|pass)|decline|refuse|don't have|do not have|don’t have|lack|do not feel|don't feel|don’t feel)"
+#: Refusals, one pattern a language, by structure: the speaker or the material as subject, a limit of ability, right or will, an act of
+#: answering; each is tried on single sentences without their quotations.
 REFUSALS = {
-    "en": r"\bI(?:'m| am|’m)? (?:\w+ )?(?:cannot|can't|can’t|could not|couldn't|am unable|am not able|unable|not able|won't|will not|would rather not|would prefer not|prefer not|must decline|decline|have to decline|don't have|do not have|don’t have|do not feel|don't feel)\b|\b(?:unable|not able) to (?:answer|compare|help|say|comment|judge|decide|provide)\b|\b(?:passages?|excerpts?|text|material|context|sources?)\b.{0,40}\b(?:do(?:es)? not|don't|doesn't) (?:contain|provide|give|offer|say|allow)\b|\bwithout a basis for\b|\bnothing in the (?:\w+ )?(?:text|passages?|material|excerpts?) lets me\b|\bno way for me to\b|\b(?:isn't|is not|isn’t) possible (?:for me )?to (?:say|answer|decide|judge)\b|\bnot something I\b|\bbeyond what I\b|\bput this to somebody else\b|\bask (?:somebody|someone) else\b|\bleaves me (?:without|unable)\b|\bnot (?:allowed|permitted|in a position) to\b|\bdon't have access\b",
+    "en": rf"\bI(?:'m|’m)?(?: \w+)?(?: am)? {_LIMIT}\b"
+    rf"|\b(?:unable|not able|impossible|not possible|isn't possible|isn’t possible|no way)\b(?: for me)? to {_ACTS}\b|\bno way for me\b"
+    rf"|\b{_BASIS}\b[^.!?]{{0,40}}\b(?:do(?:es)? not|don't|doesn't|don’t|doesn’t|fails? to) (?:contain|provide|give|offer|say|allow|permit|let|tell|cover|mention)\b"
+    r"|\b(?:nothing|none|not a word|no (?:passage|part|line|word|page))\b[^.!?]{0,40}\b(?:lets?|allows?|permits?|enables?|helps?|tells?)\b[^.!?]{0,10}\b(?:me|us|one)\b"
+    r"|\b(?:leaves?|gives?|offers?|provides?)\b (?:me|us)\b[^.!?]{0,20}\b(?:without|unable|no|nothing|too little)\b"
+    r"|\b(?:beyond|outside|above|not within)\b (?:what I|my)\b|\bnot\b[^.!?]{0,25}\bI\b[^.!?]{0,15}\b(?:able|allowed|permitted|competent|qualified|ready|willing|free|comfortable)\b"
+    r"|\b(?:put|address|refer|take|bring|direct|leave)\b[^.!?]{0,25}\bto (?:somebody|someone|anybody|anyone|others)\b|\b(?:ask|consult|turn to)\b[^.!?]{0,6}\b(?:somebody|someone|another|an expert|a specialist|a scholar)\b"
+    r"|\bnot (?:allowed|permitted|in a position) to\b",
     "de": r"\bkann ich\b.{0,60}\bnicht\b|\bich kann\b.{0,60}\bnicht\b|\b(?:darf|möchte|will|werde) ich\b.{0,60}\b(?:keine?|nicht|kein)\b|\bich (?:darf|möchte|will|werde|muss)\b.{0,60}\b(?:keine?|nicht|ablehnen|passen)\b|\breicht (?:das|der|die)\b.{0,50}\bnicht\b|\b(?:das|der|die) (?:Material|Text|Passagen?|Auszüge?|Stellen?)\b.{0,50}\b(?:nicht aus|reich(?:t|en) nicht|keine)\b|\bnicht möglich\b.{0,40}\b(?:zu|Antwort)\b|\bist es mir nicht\b|\bbin ich nicht\b|\bmuss ich ablehnen\b|\blässt sich (?:aus|anhand|dazu|darüber)\b.{0,60}\b(?:nicht|nichts)\b|\bkeinen Zugriff\b|\bsehe ich mich\b|\bgeht über das hinaus\b",
     "fr": r"\bje (?:ne|n')\s*(?:\w+\s+)?(?:peux|puis|suis|dispose|ai|saurais|veux|souhaite|préfère)\b|\bje n'ai\b|\bje (?:préfère|préférerais) (?:ne pas|m'abstenir)\b|\bje dois (?:décliner|refuser|m'abstenir)\b|\bil (?:ne )?m'est (?:impossible|pas possible)\b|\bm'est impossible\b|\b(?:passages?|extraits?|texte|documents?)\b.{0,50}\b(?:ne|n')\s*\w+ pas\b.{0,60}|\brien (?:dans|ne)\b.{0,40}\bpermet\b|\bpas (?:assez|suffisamment) d'informations?\b|\bimpossible de (?:répondre|trancher|dire|comparer)\b|\bau-delà de ce que je\b",
     "zh": r"(?:我|本助手)?(?:无法|不能|没法|没有办法|不便|不方便|无权|不可以|难以)(?:对此|对这个|就此|回答|判断|比较|发表|提供|作答|评论|给出|协助|帮)|没有足够的(?:信息|材料|依据)|信息不足|不足以(?:回答|判断)|未提供|恕(?:我)?(?:难|不)|拒绝回答|我(?:必须|只能|不得不)(?:拒绝|谢绝)",
@@ -53,7 +65,7 @@ REFUSALS = {
 }
 REFUSAL = {k: re.compile(v, re.I | re.S) for k, v in REFUSALS.items()}
 #: A refusal that somebody else utters, or a word that is only talked about.
-REPORTED = re.compile(r"\b(?:says|said|writes?|wrote|replied|replies|asked|answers|never uses|lets (?:him|her|them)|the letter ends|sagt|sagte|schreibt|schrieb|antwortet|antwortete|dit|écrit|écrivit|répondit|répond)\b|他(?:说|写道)|她(?:说|写道)|写道")
+REPORTED = re.compile(r"\b(?:says|said|writes?|wrote|replied|replies|asked|answers|answered|exclaims?|confess(?:es|ed)|reads|(?:begins?|ends?|closes) with|sagt|sagte|schreibt|schrieb|antwortet|antwortete|dit|écrit|écrivit|répondit|répond)\b|他(?:说|写道)|她(?:说|写道)|写道")
 QUOTED = re.compile(r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|「[^「」]*」|『[^『』]*』|\"[^\"\n]*\"")
 PIECE = re.compile(r"(?<=[^\W\d_]{3}[.!?])[\"'“”’»)\]]*\s+(?![a-z\d])|(?<=\d{3}[.!?])\s+(?=[A-Z])|(?<=[!?])[\"'“”’»)\]]*\s+(?![a-z])|(?<=[。！？।])[”」』]*|\n+")
 #: Two things named side by side, which a short answer may consist of.
@@ -85,12 +97,26 @@ def body(answer: str) -> str:
     return CITATION.sub("", text).strip()
 
 
-def is_empty(answer: str | None) -> bool:
+#: What stands between the parts of a citation.
+CITING = set("p pp s see cf vgl voir ibid ebd and und et in of the page pages seite seiten".split())
+
+
+def only_cites(text: str, sources: str) -> bool:
+    """Whether a text is made of nothing but names, titles and sections of its sources, with at least one page number."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    if not any(w.isdigit() for w in words):
+        return False
+    known = set(re.findall(r"[^\W_]+", sources.lower())) | CITING
+    return all(w in known or w.isdigit() for w in words) and not text.rstrip().endswith((".", "!", "?"))
+
+
+def is_empty(answer: str | None, sources: str = "") -> bool:
+    """States nothing: blank, wrappers, placeholders, or only citations, such as ``sources`` (the words of the pair's sources) would give."""
     text = body(answer or "")
     text = TAG.sub("", text)
     text = re.sub(r'^[\s{\["\']*(?:answer|response|text)["\']?\s*[:=]', "", text, flags=re.I)
     words = " ".join(WORD.findall(text.lower()))
-    return not words or words in PLACEHOLDERS
+    return not words or words in PLACEHOLDERS or bool(sources) and only_cites(text, sources)
 
 
 def without_question(question: str, text: str) -> tuple[str, bool]:
@@ -253,17 +279,17 @@ def shared_prefix(a: str, b: str) -> int:
     return n
 
 
-def cut_short(tail: str, neighbours: list[str]) -> bool:
-    """Whether an unfinished piece begins like a finished sentence that goes on beyond it."""
+def cut_short(tail: str, neighbours: list[str], least: int = SHARED_WORDS) -> bool:
+    """Whether an unfinished piece begins like a finished sentence that goes on beyond it, in ``least`` words or as many characters and one more of scripts without spaces."""
     n = max((shared_prefix(tail, x) for x in neighbours), default=0)
     if n == len(tail):
         return True
     shared = tail[:n]
     if any(p.search(tail) for _, p in SCRIPTS):
-        return len(shared.strip()) >= SHARED_CHARACTERS
+        return len(shared.strip()) > least
     whole = shared if n < len(tail) and not tail[n : n + 1].isalnum() else re.sub(r"\w+$", "", shared)
     shared_words, all_words = len(WORD.findall(whole)), len(WORD.findall(tail))
-    return shared_words >= SHARED_WORDS or all_words >= LONG_PIECE and shared_words >= SHARED_WORDS - 1
+    return shared_words >= least or all_words >= LONG_PIECE and shared_words >= least - 1
 
 
 def sorted_neighbours(items: DataFrame, text: str, anchor: str) -> DataFrame:
@@ -305,7 +331,18 @@ def sorted_neighbours(items: DataFrame, text: str, anchor: str) -> DataFrame:
     return ordered.mapInArrow(run, f"{text} string, before string, after string")
 
 
-def defective_pairs(df: DataFrame, key: str = "id", question: str = "question", answer: str = "answer", model: str = "model") -> DataFrame:
+def source_words(df: DataFrame, sources: str) -> Column:
+    """Authors, titles and sections of a pair's sources as one text; '' where the table has none or they are null."""
+    kind = dict(df.dtypes).get(sources, "")
+    if not kind.startswith("array<struct"):
+        return F.lit("")
+    fields = [f for f in ("author", "title", "section") if re.search(rf"[<,]{f}:string", kind)]
+    if not fields:
+        return F.lit("")
+    return F.coalesce(F.array_join(F.transform(sources, lambda x: F.concat_ws(" ", *[x[f] for f in fields])), " "), F.lit(""))
+
+
+def defective_pairs(df: DataFrame, key: str = "id", question: str = "question", answer: str = "answer", model: str = "model", sources: str = "sources") -> DataFrame:
     """``key, defect`` for each defective pair: empty, copy, refusal, other_language or truncated.
 
     A pair has one defect, the first that applies in this order. Null and blank answers are empty; a
@@ -313,15 +350,15 @@ def defective_pairs(df: DataFrame, key: str = "id", question: str = "question",
     once, null keys take no part, further columns are not read. Texts are taken whole.
     """
     kind = dict(df.dtypes)[key]
-    once = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max_by(F.struct(question, answer, model), F.coalesce(F.length(answer), F.lit(-1))).alias("r"))
-    once = once.select("key", F.col(f"r.{question}").alias("question"), F.col(f"r.{answer}").alias("answer"), F.coalesce(F.col(f"r.{model}"), F.lit("")).alias("model"))
+    fields = F.struct(F.col(question).alias("question"), F.col(answer).alias("answer"), F.coalesce(model, F.lit("")).alias("model"), source_words(df, sources).alias("sources"))
+    once = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max_by(fields, F.struct(F.coalesce(F.length(answer), F.lit(-1)), answer, question)).alias("r")).select("key", "r.*")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for q, a in zip(batch.column("question").to_pylist(), batch.column("answer").to_pylist(), strict=True):
+            for q, a, cited in zip(batch.column("question").to_pylist(), batch.column("answer").to_pylist(), batch.column("sources").to_pylist(), strict=True):
                 defect, end = None, Ending()
-                if is_empty(a):
+                if is_empty(a, cited):
                     defect = "empty"
                 else:
                     end = ending(q, a)
@@ -348,10 +385,11 @@ def defective_pairs(df: DataFrame, key: str = "id", question: str = "question",
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, before, after = (c.to_pylist() for c in batch.columns)
-            short = [cut_short(t, [x for x in (b, a) if x]) for t, b, a in zip(texts, before, after, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, type=pa.bool_())], names=["tail", "short"])
+            near = [(t, [x for x in (b, a) if x]) for t, b, a in zip(texts, before, after, strict=True)]
+            columns = [pa.array([cut_short(t, x, least) for t, x in near], type=pa.bool_()) for least in (SHARED_WORDS, SHARED_AFTER)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["tail", "short", "begun"])
 
-    short = near.mapInArrow(compare, "tail string, short boolean")
+    short = near.mapInArrow(compare, "tail string, short boolean, begun boolean")
     # lengths at which unfinished answers of a model pile up
     lengths = tails.groupBy("model", "length").agg(F.count_distinct("tail").alias("n"))
     around = lengths.select("model", F.explode(F.array([F.col("length") + d for d in (-2, -1, 1, 2)])).alias("length"), (F.col("n") / 4).alias("m")).groupBy("model", "length").agg(F.sum("m").alias("m"))
@@ -361,5 +399,6 @@ def defective_pairs(df: DataFrame, key: str = "id", question: str = "question",
     asked = tails.where(F.size("parts") > 1).select("tail", F.explode(F.array_distinct("parts")).alias("part")).distinct()
     beside = asked.join(named, "part", "left").groupBy("tail").agg(F.count("known").alias("k"), F.count(F.lit(1)).alias("n")).where("k = n").select("tail", F.lit(True).alias("beside"))
     joined = tails.join(short, "tail", "left").join(beside, "tail", "left").join(broadcast_if_small(spikes), ["model", "length"], "left")
-    late = joined.where(~F.col("alone") | (F.coalesce("short", F.lit(False)) & F.col("beside").isNull()) | F.coalesce("spike", F.lit(False))).select("key", F.lit("truncated").alias("defect"))
+    # behind finished sentences an unfinished piece that begins as any sentence does is cut; one that stands alone may be a short answer
+    late = joined.where((~F.col("alone") & F.coalesce("begun", F.lit(False))) | (F.coalesce("short", F.lit(False)) & F.col("beside").isNull()) | F.coalesce("spike", F.lit(False))).select("key", F.lit("truncated").alias("defect"))
     return judged.where("defect IS NOT NULL").select("key", "defect").unionByName(late).withColumnRenamed("key", key)

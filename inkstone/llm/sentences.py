@@ -65,7 +65,7 @@ SCRIPTS = [("th", re.compile(f"[{THAI}]")), ("hi", re.compile(f"[{DEVANAGARI}]")
 ANY_SCRIPT = re.compile(f"[{THAI}{DEVANAGARI}{KANA}{HAN}]")
 LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 # fixed values: common verbs (in Hindi the mark of the speaker, in Japanese that of speech) with which a sentence goes on after a quotation; others are learned
-SPEECH_VERBS = r"(?:と(?:[^、。]|$)|(?:[A-Za-z]{{2,20}}\s*|[{han}]{{1,4}}?)(?:问|問|说|說|道|答|喊)|[A-Za-z]{{0,20}}\s*(?:ถาม|กล่าว)|\S{{2,20}}\s+ने\s)"
+SPEECH_VERBS = r"(?:と(?:[^、。]|$)|[A-Za-z]{{2,20}}\s*(?:问|問|说|說|道|答|喊)|[{han}]{{1,4}}?(?:问|問|说|說|道|答|喊)(?=[，。,.])|[A-Za-z]{{2,20}}\s*(?:ถาม|กล่าว)|\S{{2,20}}\s+ने\s)"
 SPEECH_AFTER = re.compile(rf"\s*{SPEECH_VERBS.format(han='一-鿿')}")
 #: A quoted question or exclamation, and an end without quotation; then who speaks, if in Latin letters, and the first characters after.
 QUOTED_LEAD = re.compile(rf"[!?！？][”」』\"]\s*([A-Za-z]{{2,20}}\s*)?([{THAI}{DEVANAGARI}{KANA}{HAN}]{{1,4}})")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from inkstone.llm import responses as R
 
 Q = "How do Hume and Kant differ on the relation between habit and duty?"
@@ -66,3 +68,56 @@ def test_answers_that_pile_up_at_a_length(spark):
     rows = [(f"l{k}", Q, long(n).ljust(203, "y")[:203], "m") for k, n in enumerate(names)] + [("s", Q, "Only Kant", "m")]
     df = spark.createDataFrame(rows, "id string, question string, answer string, model string")
     assert {r["defect"] for r in R.defective_pairs(df).collect()} == {"truncated"}
+
+
+UNSEEN_REFUSALS = [
+    "I am afraid I cannot give an opinion on that.",
+    "Regrettably I'm unable to weigh these two authors against each other.",
+    "It is not possible to determine this from two short quotations.",
+    "The pages you sent do not mention the topic at all.",
+    "None of the passages tells me what she thought of promises.",
+    "My apologies, but this lies outside my remit.",
+    "I must decline to take sides here.",
+    "You had better ask someone who has read the whole work.",
+    "I do not have enough material to go on.",
+    "The context provided doesn't say anything on the matter.",
+    "I won't comment on religious questions.",
+    "No line in these texts allows me to settle the matter.",
+    "That is not a topic I am comfortable discussing.",
+    "As a language model I would prefer not to judge a thinker's character.",
+    "There is no way to tell from what I was shown.",
+    "Leider kann ich dazu nichts sagen, was nicht geraten wäre.",
+    "Je ne peux pas me prononcer sur ce point.",
+    "我无法回答这个问题。",
+]
+UNSEEN_ANSWERS = [
+    "Kant holds that the will cannot be good by inclination alone.",
+    "He argues that nobody is able to judge his own case.",
+    "Mill says that one cannot answer for the taste of others.",
+    "The first author refuses every compromise, the second welcomes it.",
+    "“I cannot answer”, he writes, and turns to his garden.",
+    "Nothing in nature is good without limit except a good will.",
+    "The text does not separate duty from law; it joins them.",
+    "She denies that pity is possible without fellow feeling.",
+    "Neither thinks that virtue can be taught to everyone.",
+    "Both leave the question of punishment to the judge.",
+    "To be unable to lie is, for him, no virtue.",
+    "He puts the question to his readers and answers it himself.",
+]
+
+
+def test_refusals_in_other_words():
+    refused = [t for t in UNSEEN_REFUSALS if R.is_refusal("How do they differ?", t)]
+    wrong = [t for t in UNSEEN_ANSWERS if R.is_refusal("How do they differ?", t)]
+    assert len(refused) >= 0.9 * len(UNSEEN_REFUSALS), set(UNSEEN_REFUSALS) - set(refused)
+    assert len(refused) >= 0.9 * (len(refused) + len(wrong)), wrong
+
+
+def test_answers_made_of_their_sources(spark):
+    sources = "Quodwil Lessons on Envy Section IX"
+    assert R.is_empty("Quodwil, Lessons on Envy, pp. 3-5", sources) and R.is_empty("Quodwil 12", sources)
+    assert not R.is_empty("Quodwil", sources) and not R.is_empty("Quodwil doubts it, p. 3", sources) and not R.is_empty("Section IX says 3.", sources)
+    rows = [("a", "Who doubts it?", "Quodwil, p. 3", [("Quodwil", "T")]), ("b", "Who doubts it?", "Quodwil", [("Quodwil", "T")]), ("c", "Who doubts it?", "Somebody, p. 3", None)]
+    df = spark.createDataFrame(rows, "id string, question string, answer string, sources array<struct<author: string, title: string>>").withColumn("model", F.lit("m"))
+    assert {r["id"] for r in R.defective_pairs(df).where("defect = 'empty'").collect()} == {"a"}
+    assert R.defective_pairs(df.drop("sources")).where("defect = 'empty'").count() == 0
