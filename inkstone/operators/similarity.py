@@ -1,8 +1,8 @@
 """Links between similar vectors of different documents, under a threshold taken from all such pairs.
 
-Pairs are never written out. Vectors lie in blocks; each pair of blocks is one matrix product. A first
+Pairs are never written out. Vectors lie in blocks; each pair of blocks is one matrix product. One
 pass keeps a histogram of all similarities and each row's best partners of the block; the exact
-percentile then needs only the values in the bins that hold its rank.
+percentile then needs only the values in the bins that hold its ranks, which one more pass gives.
 """
 
 from __future__ import annotations
@@ -62,81 +62,119 @@ def usable_vectors(df: DataFrame, key: str, doc: str, vector: str) -> DataFrame:
     return made.select("id", F.col("r.doc").alias("doc"), unit(F.col("r.v")).alias("unit")).where("unit IS NOT NULL")
 
 
+def _partners(s: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``id, other, score``: of each row and each column of a block pair the ``k`` best, and what is equal to the last of them."""
+    out: tuple[list, list, list] = ([], [], [])
+    for m, rows, cols in ((s, a, b), (s.T, b, a)):
+        if not m.size:
+            continue
+        clean = np.where(np.isnan(m), -9.0, m)
+        keep = min(k, m.shape[1])
+        limit = -np.partition(-clean, keep - 1, axis=1)[:, keep - 1 : keep]
+        i, j = np.nonzero((clean >= limit) & (clean > -9))
+        for part, values in zip(out, (rows[i], cols[j], m[i, j]), strict=True):
+            part.append(values)
+    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True))
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def top_partners(vectors: DataFrame, k: int = TOP_K) -> DataFrame:
     """``id, other, score, rank``: each vector's ``k`` most similar of other documents; ties go to the smaller id."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        s, a, b = _scores(key, left, right)
-        out = ([], [], [])
-        for m, rows, cols in ((s, a, b), (s.T, b, a)):
-            if not m.size:
-                continue
-            clean = np.where(np.isnan(m), -9.0, m)
-            keep = min(k, m.shape[1])
-            limit = -np.partition(-clean, keep - 1, axis=1)[:, keep - 1 : keep]
-            i, j = np.nonzero((clean >= limit) & (clean > -9))
-            out[0].append(rows[i])
-            out[1].append(cols[j])
-            out[2].append(m[i, j])
-        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        return pa.table({"id": join(out[0], np.int64), "other": join(out[1], np.int64), "score": join(out[2], np.float64)})
-
-    near = _block_pairs(vectors).applyInArrow(run, "id bigint, other bigint, score double")
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return pa.table(dict(zip(("id", "other", "score"), _partners(*_scores(key, left, right), k), strict=True)))
 
+    return _ranked(_block_pairs(vectors).applyInArrow(run, "id bigint, other bigint, score double"), k)
 
-def cross_statistics(vectors: DataFrame, percentile: float = PERCENTILE) -> DataFrame:
-    """One row ``pairs, threshold, min_score, max_score`` over all pairs of vectors of different documents; exact."""
-
-    def counted(low: float, high: float):
-        def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            s, _, _ = _scores(key, left, right)
-            v = s[~np.isnan(s)]
-            v = v[(v >= low) & (v <= high)]
-            if not len(v):
-                return pa.table({"bin": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "lo": pa.array([], pa.float64()), "hi": pa.array([], pa.float64())})
-            bins, place, counts = np.unique(_bin(v, low, high), return_inverse=True, return_counts=True)
-            lo, hi = np.full(len(bins), np.inf), np.full(len(bins), -np.inf)
-            np.minimum.at(lo, place, v)
-            np.maximum.at(hi, place, v)
-            return pa.table({"bin": bins, "n": counts, "lo": lo, "hi": hi})
-
-        parts = _block_pairs(vectors).applyInArrow(run, "bin bigint, n bigint, lo double, hi double")
-        return parts.groupBy("bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("bin").collect()  # at most BINS rows
-
-    spark = vectors.sparkSession
-    schema = "pairs bigint, threshold double, min_score double, max_score double"
-    rows = counted(-1.01, 1.01)  # rounding may leave -1..1 by a little
-    if not rows:
-        return spark.createDataFrame([(0, None, None, None)], schema)
-    total, least, most = sum(r["n"] for r in rows), min(r["lo"] for r in rows), max(r["hi"] for r in rows)
-    place = (total - 1) * percentile / 100
-    bounds = []
-    for rank in sorted({math.floor(place), math.ceil(place)}):
-        # narrow the range that holds the rank until it holds one value, or few
-        here, before = rows, 0
-        while True:
-            for r in here:
-                if before + r["n"] > rank:
+
+def _counts(s: np.ndarray, ranges: list[tuple[float, float]]) -> tuple[np.ndarray, ...]:
+    """``range, bin, n, lo, hi`` of the values in each of some ranges."""
+    every = s[~np.isnan(s)]
+    parts = []
+    for r, (low, high) in enumerate(ranges):
+        v = every[(every >= low) & (every <= high)]
+        if len(v):
+            v = np.sort(v)
+            bins = _bin(v, low, high)
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(bins)) + 1])
+            ends = np.append(starts[1:], len(v))
+            parts.append((np.full(len(starts), r), bins[starts], ends - starts, v[starts], v[ends - 1]))
+    types = (np.int64, np.int64, np.int64, np.float64, np.float64)
+    return tuple(np.concatenate(x).astype(t) for x, t in zip(zip(*parts, strict=True), types, strict=True)) if parts else tuple(np.zeros(0, t) for t in types)
+
+
+_COUNTED = ("range", "bin", "n", "lo", "hi")
+
+
+def _merged(parts: DataFrame) -> list:
+    return parts.groupBy("range", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("range", "bin").collect()  # at most two ranges of BINS rows
+
+
+def _percentile(vectors: DataFrame, rows: list, percentile: float) -> float:
+    """The exact percentile, from the counts of a first pass; the bins of both ranks are narrowed together."""
+    place = (sum(r["n"] for r in rows) - 1) * percentile / 100
+    wanted = sorted({math.floor(place), math.ceil(place)})
+    found: dict[int, float] = {}
+    here, before = {rank: rows for rank in wanted}, dict.fromkeys(wanted, 0)
+    while len(found) < len(wanted):
+        held = {}
+        for rank in wanted:
+            if rank in found:
+                continue
+            for r in here[rank]:
+                if before[rank] + r["n"] > rank:
                     break
-                before += r["n"]
+                before[rank] += r["n"]
             if r["lo"] == r["hi"]:
-                bounds.append(r["lo"])
-                break
-            if r["n"] <= FEW_VALUES:
-                low, high = r["lo"], r["hi"]
+                found[rank] = r["lo"]
+            else:
+                held[rank] = r
+        ranges = sorted({(r["lo"], r["hi"]) for r in held.values()})
+        if not ranges:
+            break
+        if all(r["n"] <= FEW_VALUES for r in held.values()):
+
+            def values(key, left: pa.Table, right: pa.Table, ranges=ranges) -> pa.Table:
+                s, _, _ = _scores(key, left, right)
+                inside = [s[(s >= low) & (s <= high)] for low, high in ranges]
+                return pa.table({"range": np.repeat(np.arange(len(ranges)), [len(x) for x in inside]), "v": np.concatenate(inside)})
+
+            got = _block_pairs(vectors).applyInArrow(lambda key, left, right: values(key, left, right), "range bigint, v double").toArrow()
+            of, v = got.column("range").to_numpy(), got.column("v").to_numpy()
+            for rank, r in held.items():
+                found[rank] = float(np.sort(v[of == ranges.index((r["lo"], r["hi"]))])[rank - before[rank]])
+            break
 
-                def values(key, left: pa.Table, right: pa.Table, low=low, high=high) -> pa.Table:
-                    s, _, _ = _scores(key, left, right)
-                    return pa.table({"v": s[(s >= low) & (s <= high)]})
+        def finer(key, left: pa.Table, right: pa.Table, ranges=ranges) -> pa.Table:
+            return pa.table(dict(zip(_COUNTED, _counts(_scores(key, left, right)[0], ranges), strict=True)))
 
-                found = np.sort(_block_pairs(vectors).applyInArrow(lambda key, left, right: values(key, left, right), "v double").toArrow().column("v").to_numpy())
-                bounds.append(float(found[rank - before]))
-                break
-            here = counted(r["lo"], r["hi"])
-    value = bounds[0] + (bounds[-1] - bounds[0]) * (place - math.floor(place))
-    return spark.createDataFrame([(total, float(value), float(least), float(most))], schema)
+        counted = _merged(_block_pairs(vectors).applyInArrow(lambda key, left, right: finer(key, left, right), "range bigint, bin bigint, n bigint, lo double, hi double"))
+        for rank, r in held.items():
+            here[rank] = [x for x in counted if x["range"] == ranges.index((r["lo"], r["hi"]))]
+    low, high = found[wanted[0]], found[wanted[-1]]
+    return low + (high - low) * (place - math.floor(place))
+
+
+#: Rounding may leave -1..1 by a little.
+_WHOLE = (-1.01, 1.01)
+
+
+def cross_statistics(vectors: DataFrame, percentile: float = PERCENTILE) -> DataFrame:
+    """One row ``pairs, threshold, min_score, median_score, max_score`` over all pairs of vectors of different documents; exact."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.table(dict(zip(_COUNTED, _counts(_scores(key, left, right)[0], [_WHOLE]), strict=True)))
+
+    schema = "pairs bigint, threshold double, min_score double, median_score double, max_score double"
+    rows = _merged(_block_pairs(vectors).applyInArrow(run, "range bigint, bin bigint, n bigint, lo double, hi double"))
+    if not rows:
+        return vectors.sparkSession.createDataFrame([(0, None, None, None, None)], schema)
+    found = [_percentile(vectors, rows, p) for p in (percentile, 50.0)]
+    return vectors.sparkSession.createDataFrame([(sum(r["n"] for r in rows), found[0], min(r["lo"] for r in rows), found[1], max(r["hi"] for r in rows))], schema)
 
 
 def cross_histogram(vectors: DataFrame, bins: int = 60) -> DataFrame:
@@ -154,12 +192,24 @@ def cross_histogram(vectors: DataFrame, bins: int = 60) -> DataFrame:
 def cross_links(vectors: DataFrame, k: int = TOP_K, percentile: float = PERCENTILE) -> DataFrame:
     """``a, b, score`` (a < b): pairs of different documents where one is among the other's ``k`` best and the threshold is reached.
 
-    Same-document vectors are left out before ranking, so small corpora give no links inside a document.
+    Same-document vectors are left out before ranking, so small corpora give no links inside a document. The
+    product of all blocks is made once for partners and counts; one more gives the values around the threshold.
     """
-    stats = cross_statistics(vectors, percentile)
-    near = top_partners(vectors, k)
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        s, a, b = _scores(key, left, right)
+        near, counts = _partners(s, a, b, k), _counts(s, [_WHOLE])
+        some, none = len(near[0]), len(counts[0])
+        pad = lambda n, t: pa.nulls(n, t)
+        columns = {n: pa.concat_arrays([pa.array(v), pad(none, t)]) for n, v, t in zip(("id", "other", "score"), near, (pa.int64(), pa.int64(), pa.float64()), strict=True)}
+        columns |= {n: pa.concat_arrays([pad(some, pa.array(v).type), pa.array(v)]) for n, v in zip(_COUNTED, counts, strict=True)}
+        return pa.table(columns)
+
+    both = cut(_block_pairs(vectors).applyInArrow(run, "id bigint, other bigint, score double, range bigint, bin bigint, n bigint, lo double, hi double"))
+    rows = _merged(both.where("id IS NULL"))
+    limit = _percentile(vectors, rows, percentile) if rows else 2.0
+    near = _ranked(both.where("id IS NOT NULL").select("id", "other", "score"), k)
     pairs = near.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max("score").alias("score"))
-    limit = stats.first()["threshold"]
     return pairs.where(F.col("score") >= F.lit(limit)).select("a", "b", "score")
 
 

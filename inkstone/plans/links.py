@@ -36,7 +36,7 @@ def _nodes(spark: SparkSession, sf: str, vectors: DataFrame) -> DataFrame:
 
 def cross_pairs_stats(spark: SparkSession, sf: str) -> DataFrame:
     s = S.cross_statistics(_vectors(spark, sf))
-    return s.select("pairs", *[F.round(c, 6).alias(c) for c in ("threshold", "min_score", "max_score")])
+    return s.select("pairs", *[F.round(c, 6).alias(c) for c in ("threshold", "min_score", "median_score", "max_score")])
 
 
 def similarity_histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,7 +209,7 @@ m AS (SELECT community, pos, avg(x) AS x FROM (SELECT community, unnest(range(le
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "cross_pairs_stats": PAIRS + "SELECT count(*) AS pairs, round(any_value(threshold), 6) AS threshold, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score FROM s, thr",
+        "cross_pairs_stats": PAIRS + "SELECT count(*) AS pairs, round(any_value(threshold), 6) AS threshold, round(min(score), 6) AS min_score, round(median(score), 6) AS median_score, round(max(score), 6) AS max_score FROM s, thr",
         "similarity_histogram": PAIRS + "SELECT least(59, greatest(0, floor((score + 1) * 30)))::BIGINT AS bin, count(*) AS n FROM s GROUP BY 1",
         "top_neighbours": PAIRS + "SELECT id, other, rank::INT AS rank, round(score, 6) AS score FROM top",
         "cross_links": PAIRS + "SELECT a, b, round(score, 4) AS score FROM links",
