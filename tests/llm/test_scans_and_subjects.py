@@ -96,3 +96,38 @@ def test_subjects_on_held_out_documents(spark):
     assert 2000 not in found and 2001 not in found and None not in found
     assert J.subject_posteriors(d, m, s.limit(0)).count() == 0
     assert J.subject_posteriors(d.limit(0), m, s).count() == 0
+
+
+def test_forms_that_are_not_held_count_as_well(spark, monkeypatch):
+    rng = random.Random(4)
+    counts = {"the": 3000, "meadow": 1500, "lantern": 900, "harvest": 420, "cistern": 260, "violin": 130, "mosaic": 70, "basin": 40, "gravel": 24, "saffron": 22, "thistle": 5}
+    # misreadings, of which some are too frequent to be; long s; words run together; torn-off pieces
+    counts |= {"mcadow": 100, "meadovv": 200, "1antern": 4, "harve5t": 40, "c1stern": 33, "vio1in": 17, "mosa1c": 3, "ba5in": 5, "grave1": 3, "th1stle": 3}
+    counts |= {"baſin": 60, "moſaic": 71, "ſaffron": 30, "harveſt": 3, "ciſtern": 200, "meadowlantern": 25, "harvestcistern": 8, "mosaicviolin": 2, "gravelbasin": 1, "lant": 4, "mead": 14, "arvest": 4, "ern": 8, "x": 160, "z": 149}
+    tokens = [w for w, n in counts.items() for _ in range(n)]
+    rng.shuffle(tokens)
+    rows = [("d", p, "\n".join(" ".join(["the", *tokens[at + k : at + k + 8]]) for k in range(0, 200, 8)), None) for p, at in enumerate(range(0, len(tokens), 200))]
+    pages = spark.createDataFrame(rows, PAGES)
+    lexicon = spark.createDataFrame([("en", "thistle")], "lang string, word string")
+    corpus = spark.createDataFrame([("d", None, None)], "doc string, author string, title string")
+    whole, _ = learned = P.learn(pages, lexicon)
+    found = set(P.page_noise(pages, corpus, lexicon, learned).collect())
+    for most in (2, 8, 25):
+        monkeypatch.setattr(P, "MOST_FORMS", most)
+        few, _ = learned = P.learn(pages, lexicon)
+        assert set(P.page_noise(pages, corpus, lexicon, learned).collect()) == found
+        a, b = whole["en"], few["en"]
+        assert len(b.held) <= most + 1 and b.held_from > a.held_from
+        for x in [*counts, "bas1n", "moſa1c", "vi0lin", "violinmosaic", "never"]:
+            assert (a.right.get(x), a.wrong.get(x), a.mate(x), a.verdict(x), a.repair(x, True), x in a.mates) == (b.right.get(x), b.wrong.get(x), b.mate(x), b.verdict(x), b.repair(x, True), x in b.mates), (most, x)
+    assert a.wrong["ciſtern"] == "cistern" and a.wrong["harvestcistern"] == "harvest cistern"
+    assert "baſin" in a.right and "vio1in" in a.right and "lant" not in a.right
+
+
+def test_last_lines_and_misread_lines_are_read_whole(spark):
+    plain = "the conscience of a man is tested"
+    twice = "\n".join(["pride and lantern and meadow is duty"] * 40)
+    marble = "\n".join(["the conscicnce of an old marble statue"] * 6)
+    rows = book() + [("d", 1, f"{plain}\n{twice}\n{marble}\n{plain},", None), ("d", 2, f"{plain}\n{plain}\nPride lanternmeadow habit", None), ("d", 60, f"{plain}\nduty of an old marb1e statue\n{plain},", None)]
+    got = noise(spark, rows, words=[*WORDS, "old", "an", "statue"])
+    assert {(p, n) for p, n, k in got if k == "misread"} == {*((1, k) for k in range(41, 47)), (2, 2), (60, 1)}
